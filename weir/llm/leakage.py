@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -36,7 +37,7 @@ _IS_CJK = re.compile(f"[{_CJK}]")
 _TOKENS = re.compile(rf"[{_CJK}]+|[^\W_{_CJK}]+")
 _NOT_ALNUM = re.compile(r"[\W_]+")
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑­](?:[^\S\n]*\n\s*)?(?=\w)")
-_INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
+_INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]+")
 
 
 class Window(NamedTuple):
@@ -71,7 +72,7 @@ def normalise(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_INVISIBLE)
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     if "-" in text or "‐" in text or "‑" in text:
         text = _HYPHEN.sub("", text)
     return text.lower() if text.isascii() else unicodedata.normalize("NFC", text.casefold())
@@ -176,7 +177,7 @@ def _hits(block: Block):
                         tokens = words(text)
                     else:
                         tokens = "" if text.isascii() or not _IS_CJK.search(text) else letters(text)
-                    parts.append(np.fromiter((get(t, -1) for t in tokens), dtype=np.int64, count=len(tokens)))
+                    parts.append(np.fromiter(map(get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens)))
                 gap = np.full(WINDOW[stream].gram, -1, dtype=np.int64)
                 ends = np.cumsum([len(p) + len(gap) for p in parts])
                 at, number = block.shingles(stream, np.concatenate([x for p in parts for x in (p, gap)]) if parts else gap)
@@ -233,59 +234,91 @@ def aligned(item: np.ndarray, doc: np.ndarray, stretch: int) -> bool:
     return False
 
 
+class Postings:
+    """Where the shingles of a stream occur in the items, and which of them are prefix tokens."""
+
+    def __init__(self, block: Block, stream: str, index: dict[tuple[str, int], list[int]]) -> None:
+        rows = [(g, i, k, i in index.get((stream, g), ())) for i, (item, grams) in enumerate(zip(block.items, block.grams, strict=True)) if item[1] == stream for k, g in enumerate(grams.tolist())]
+        rows.sort()
+        table = np.array(rows, dtype=np.int64).reshape(-1, 4)
+        self.begin = np.searchsorted(table[:, 0], np.arange(block.gram_count(stream) + 1))
+        self.item, self.place, self.prefix = table[:, 1], table[:, 2], table[:, 3].astype(bool)
+        self.longest = max((len(i[2]) for i in block.items if i[1] == stream), default=0)
+
+    def candidates(self, at: np.ndarray, number: np.ndarray, rule: Window) -> list[tuple[int, int, int]]:
+        """(item, low, high): items that share a prefix token, with the diagonals (place in the document
+        less place in the item) near which enough shingles lie.
+
+        A stretch of n tokens with e edits keeps at least n - gram + 1 - gram * e shingles, and its
+        diagonals spread by at most e.
+        """
+        counts = self.begin[number + 1] - self.begin[number]
+        total = int(counts.sum())
+        if not total:
+            return []
+        of = np.repeat(np.arange(len(number)), counts)
+        entry = np.repeat(self.begin[number] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(total)
+        item = self.item[entry]
+        wide = int(at[-1]) + 4 * self.longest + 4
+        key = np.sort(item * wide + at[of] - self.place[entry] + 2 * self.longest)
+        lows, highs = [], []
+        for edits in range(rule.stretch // EDIT, self.longest // EDIT + 1):
+            need = max(rule.stretch, EDIT * edits) - rule.gram + 1 - rule.gram * edits
+            if need > len(key):
+                continue
+            j = np.flatnonzero(key[need - 1 :] - key[: len(key) - need + 1] <= edits)
+            lows.append(key[j + need - 1] - edits)
+            highs.append(key[j] + edits)
+        low, high = (np.concatenate(x) if x else key[:0] for x in (lows, highs))
+        if not len(low):
+            return []
+        order = np.argsort(low, kind="stable")
+        low, reach = low[order], np.maximum.accumulate(high[order])
+        first = np.flatnonzero(np.r_[True, low[1:] > reach[:-1]])
+        low, high = low[first], reach[np.r_[first[1:] - 1, len(reach) - 1]]
+        of_item = (low + self.longest // EDIT) // wide
+        kept = np.isin(of_item, item[self.prefix[entry]])
+        base = of_item * wide + 2 * self.longest
+        return list(zip(of_item[kept].tolist(), (low - base)[kept].tolist(), (high - base)[kept].tolist(), strict=True))
+
+
+def may_align(item: np.ndarray, doc: np.ndarray, low: int, high: int, stretch: int) -> bool:
+    """Whether enough of the item's tokens stand in ``doc`` on some diagonal from ``low`` to ``high``."""
+    n = len(item)
+    padded = np.full(n + high - low, -1, dtype=np.int64)
+    begin, end = max(0, low), min(len(doc), high + n)
+    if begin >= end:
+        return False
+    padded[begin - low : end - low] = doc[begin:end]
+    met = (np.lib.stride_tricks.sliding_window_view(padded, n) == item).any(axis=0)
+    gain = np.r_[0, np.cumsum(np.where(met, 1, 1 - EDIT))]
+    return bool(np.any(gain[stretch:] - np.minimum.accumulate(gain)[: n + 1 - stretch] >= 0))
+
+
 def _verify(block: Block, index: dict[tuple[str, int], list[int]]):
     """(document, item) pairs of which the document's words hold a leak of the item."""
-    positions = [dict(_positions(g)) for g in block.grams]
+    postings = {s: Postings(block, s, index) for s in WINDOW}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[int] = []
             found: list = []
-            for i in range(batch.num_rows):
-                stream = batch.column(1)[i].as_py()
+            streams = batch.column(1).to_pylist()
+            for i, stream in enumerate(streams):
                 rule = WINDOW[stream]
-                candidates = {item for g in batch.column(2)[i].values.to_pylist() for item in index.get((stream, g), ())}
-                if not candidates:
-                    continue
-                ids = np.asarray(batch.column(3)[i].values, dtype=np.int64)
+                ids = np.asarray(batch.column(2)[i].values, dtype=np.int64)
                 at, number = block.shingles(stream, ids)
-                for item in sorted(candidates):
+                for item, low, high in postings[stream].candidates(at, number, rule):
                     item_id, _, own = block.items[item]
-                    places = positions[item]
-                    mine = np.array([k for k, g in enumerate(number.tolist()) if g in places], dtype=np.int64)
-                    for low, high in _regions(at[mine], rule, len(own)):
-                        if aligned(own, ids[max(0, low - len(own) - 8) : high + len(own) + 8], rule.stretch):
-                            rows.append(i)
-                            found.append(item_id)
-                            break
+                    near = ids[max(0, low) : high + len(own)]
+                    if may_align(own, ids, low, high, rule.stretch) and aligned(own, near, rule.stretch):
+                        rows.append(i)
+                        found.append(item_id)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.int64())], names=["_id", "item_id"])
 
     return run
 
 
-def _positions(grams: np.ndarray) -> Iterator[tuple[int, int]]:
-    for k, g in enumerate(grams.tolist()):
-        yield g, k
-
-
-def _regions(at: np.ndarray, rule: Window, length: int) -> Iterator[tuple[int, int]]:
-    """Stretches of the document where enough shingles lie close enough together."""
-    reach = rule.stretch + rule.stretch // EDIT + 1
-    if len(at) < rule.least:
-        return
-    dense = np.flatnonzero(at[rule.least - 1 :] - at[: len(at) - rule.least + 1] <= reach)
-    if not len(dense):
-        return
-    lows, highs = at[dense], at[dense + rule.least - 1]
-    start, stop = int(lows[0]), int(highs[0])
-    for low, high in zip(lows[1:].tolist(), highs[1:].tolist(), strict=True):
-        if low > stop + length:
-            yield start, stop
-            start = low
-        stop = high
-    yield start, stop
-
-
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[Block]:
     """The passages in blocks of at most BLOCK_CHARS characters, in order of their id."""
     held: list[tuple] = []
@@ -319,7 +352,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         # at most as many rows as the block has shingles
         counted = hits.select("stream", F.explode("grams").alias("gram")).groupBy("stream", "gram").count().collect()
         index = prefixes(block, {(r["stream"], r["gram"]): r["count"] for r in counted})
-        pairs = hits.where("ids is not null").select("_id", "stream", "grams", "ids").mapInArrow(_verify(block, index), f"_id {kind}, item_id bigint")
+        pairs = hits.where("ids is not null").select("_id", "stream", "ids").mapInArrow(_verify(block, index), f"_id {kind}, item_id bigint")
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
         found = spark.createDataFrame([], f"_id {kind}, item_id bigint")
