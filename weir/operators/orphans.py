@@ -53,9 +53,10 @@ def orphan_references(references: DataFrame, changes: DataFrame, payload: list[s
 
     ``references`` has ref_table, ref_key, at and the payload columns; rows with a null key, table or
     time are left out. key_state: missing, late (created after ``at``), deleted. Repeated references
-    stay repeated.
+    stay repeated. Other columns of ``references`` play no part, whatever their names.
     """
-    references = references.where("ref_table is not null and ref_key is not null and at is not null")
+    named, payload = payload, [f"_p{i}" for i in range(len(payload))]
+    references = references.select(*[F.col(c).alias(p) for c, p in zip(named, payload, strict=True)], "ref_table", "ref_key", "at").where("ref_table is not null and ref_key is not null and at is not null")
     doubtful = ledger(references.select("ref_table", "ref_key", "at"), changes).where("state <> 'present' and refs > 0").select("ref_table", "ref_key", "day", "state", "alive_before", "_opens")
     met = references.withColumn("day", F.to_date("at")).join(doubtful, ["ref_table", "ref_key", "day"])
     columns = [*payload, "ref_table", "ref_key", "at"]
@@ -75,4 +76,4 @@ def orphan_references(references: DataFrame, changes: DataFrame, payload: list[s
         .where("_alive = 0")
         .select(*columns, F.when(F.col("_seen").isNull() & F.col("_opens"), "late").otherwise("deleted").alias("key_state"))
     )
-    return plain.unionByName(settled)
+    return plain.unionByName(settled).select(*[F.col(p).alias(c) for c, p in zip(named, payload, strict=True)], "ref_table", "ref_key", "at", "key_state")

@@ -19,7 +19,7 @@ from weir.functions.masks import value_mask
 def _text(df: DataFrame, column: str) -> Column:
     """The value as text; null if blank or not-a-number."""
     kind = df.schema[column].dataType.simpleString()
-    value = F.col(f"`{column}`")
+    value = F.col("`" + column.replace("`", "``") + "`")
     if kind in ("double", "float"):
         return F.when(~F.isnan(value), value.cast("string"))
     text = value.cast("string") if not kind.startswith(("array", "map", "struct")) else F.to_json(value)

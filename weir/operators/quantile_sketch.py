@@ -1,7 +1,8 @@
 """Percentiles from counts in signed logarithmic buckets.
 
 A bucket of index i holds magnitudes in (g^(i-1), g^i] with g = (1+a)/(1-a); its stand-in
-2 g^i / (g+1) is off by at most the share a of any value in it. Negative values mirror positive ones,
+2 g^i / (g+1) is off by at most the share a of any value in it (below 1e-307 doubles are too sparse
+for that). Negative values mirror positive ones,
 zero has its own bucket. A sketch is a table of (groups, sign, bucket, n): sketches of days, files or
 partitions merge by adding n. Counting combines before the shuffle, and a group has at most as many
 buckets as the doubles between the smallest and largest magnitude need (about 71,000 a sign at 1 %),
@@ -55,7 +56,8 @@ def quantiles(sketches: DataFrame, groups: list[str], probabilities: list[float]
     below = w.orderBy("sign", order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = sketches.select(*groups, "sign", "bucket", "n", F.sum("n").over(below).alias("_upto"), F.sum("n").over(w).alias("value_count"))
     wanted = F.array(*[F.struct(F.lit(float(p)).alias("probability"), F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("value_count"))).alias("rank")) for p in probabilities])
-    estimate = F.col("sign") * F.lit(2.0) * F.pow(F.lit(g), F.col("bucket")) / F.lit(g + 1)
+    # from the lower edge of the bucket, which is a double whenever a value of the bucket is
+    estimate = F.col("sign") * F.least(F.pow(F.lit(g), F.col("bucket") - 1) * F.lit(2 * g / (g + 1)), F.lit(1.7976931348623157e308))
     return (
         ranked.select("*", F.explode(wanted).alias("_w"))
         .where((F.col("_w.rank") <= F.col("_upto")) & (F.col("_w.rank") > F.col("_upto") - F.col("n")))

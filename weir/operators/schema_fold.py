@@ -65,9 +65,10 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     """(file_id, line_no, is_header, names, tokens) per line.
 
     ``lines`` has file_id, fmt, line_no, raw_line. Tokens are null where the value is missing, JSON
-    strings keep their quotes. Rows with a null file or line, and blank lines, give nothing.
+    strings keep their quotes. Rows with a null file or line, and blank lines, give nothing; other
+    columns play no part. Nested JSON objects count by the names inside them.
     """
-    lines = lines.where("file_id is not null and raw_line is not null and trim(raw_line) <> ''").withColumn("fmt", F.lower(F.trim("fmt")))
+    lines = lines.select("file_id", "fmt", "line_no", "raw_line").where("file_id is not null and raw_line is not null and trim(raw_line) <> ''").withColumn("fmt", F.lower(F.trim("fmt")))
     delimited = lines.where("fmt = 'csv'")
     headers = delimited.where("line_no = 1").groupBy("file_id").agg(F.min("raw_line").alias("_header")).withColumn("_sep", _separator(F.col("_header"))).select("file_id", "_sep", F.transform(_split(F.col("_header"), F.col("_sep")), normal_name).alias("names"))
     csv = delimited.join(headers, "file_id").select(

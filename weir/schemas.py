@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 from weir.model import Contract
 
@@ -18,6 +18,7 @@ TABLES = {
     "metrics": "run_id! string, dataset_name! string, layer! string, rule_name! string, rule_version! string, metric_name! string, metric_value! double, passed! boolean, severity! string, total_records! bigint, failed_records! bigint, run_timestamp! timestamp, pipeline_name string, metadata_json string",
     "rule_results": "run_id! string, rule_name! string, dataset_name! string, record_id string, failure_reason string, record_snapshot string, run_timestamp! timestamp",
 }
+_JSON_NAMES = {"int": "integer", "bigint": "long"}
 STATUSES = ("pending", "confirmed", "shipped", "delivered", "cancelled", "returned", "refunded")
 CURRENCIES = ("USD", "EUR", "GBP", "INR", "JPY", "CAD", "AUD")
 
@@ -27,7 +28,7 @@ def schema(table: str) -> StructType:
     found = StructType()
     for part in TABLES[table].split(", "):
         name, kind = part.split(" ")
-        found = found.add(name.rstrip("!"), _parse_datatype_string(kind), not name.endswith("!"))
+        found = found.add(name.rstrip("!"), _JSON_NAMES.get(kind, kind), not name.endswith("!"))
     return found
 
 
