@@ -69,8 +69,9 @@ EDIT = 8  # one edit in so many tokens
 
 def normalise(text: str) -> str:
     """Case, width, ligatures, character references, separate accents and hyphenation undone."""
-    if "&" in text:
-        text = html.unescape(text)
+    for _ in range(2):  # references may themselves be escaped
+        if "&" in text:
+            text = html.unescape(text)
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     if "-" in text or "‐" in text or "‑" in text:
@@ -213,9 +214,29 @@ def aligned(item: np.ndarray, doc: np.ndarray, stretch: int) -> bool:
     """Whether ``doc`` holds a stretch of at least ``stretch`` tokens of ``item`` with at most one edit
     in EDIT tokens.
 
-    Local alignment with n - EDIT * edits as score, n the item's tokens in the stretch. A stretch that
-    is too short may still grow by tokens that count as changed, if its score pays for them.
+    The score of a stretch is n - EDIT * edits, n the item's tokens in it; it must not be negative. A
+    local alignment finds most leaks: what it finds is one, for a stretch that is too short may grow by
+    tokens that count as changed if its score pays for them. What it does not find is settled exactly.
     """
+    return _locally_aligned(item, doc, stretch) or _exactly_aligned(item, doc, stretch)
+
+
+def _exactly_aligned(item: np.ndarray, doc: np.ndarray, stretch: int) -> bool:
+    """The best score by length of the stretch and its end in the document. A stretch of twice the
+    length or more has a half that is a leak, so lengths end there."""
+    best = np.full((2 * stretch, len(doc) + 1), -(1 << 28), dtype=np.int64)
+    slope = np.arange(len(doc) + 1, dtype=np.int64) * EDIT
+    best[0] = 0
+    for token in item:
+        now = best[:-1] + (1 - EDIT)
+        np.maximum(now[:, 1:], best[:-1, :-1] + np.where(doc == token, 1, 1 - EDIT), out=now[:, 1:])
+        best[1:] = np.maximum.accumulate(now + slope, axis=1) - slope
+        if best[stretch:].max() >= 0:
+            return True
+    return False
+
+
+def _locally_aligned(item: np.ndarray, doc: np.ndarray, stretch: int) -> bool:
     unit = 1 << 20
     match, edit, extra = unit + 1, (1 - EDIT) * unit + 1, -EDIT * unit
     slope = np.arange(len(doc) + 1, dtype=np.int64) * EDIT * unit

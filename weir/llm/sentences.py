@@ -126,7 +126,7 @@ def _end_score(text: str, start: int, mark: str, stop: int, end: int, after: int
         return SURE if before in ")）\"”»」』℃" and (gap or _is_cjk(nxt) or nxt in "[【") and _opening(text, after) >= 0 else 2.0 if gap else NEVER
     last = word[-1]
     if last.isdigit():
-        if word.isdigit() and not text[fresh : start - len(word)].strip():
+        if word.isdigit() and start - len(word) <= fresh:
             return NEVER  # the number of a claim or paragraph opens the unit
         if _is_cjk(nxt) or not gap:
             return SURE if _is_cjk(nxt) or nxt in "[【" else 1.0 if nxt.isupper() else NEVER
@@ -207,7 +207,7 @@ def sentence_ends(text: str) -> list[int]:
     q_starts, q_ends = _pairs(_QUOTED, text)
     b_starts, b_ends = _pairs(_BRACKETED, text)
     marks: list[tuple[int, int, str]] = [(m.start(), m.end(), m[0]) for m in _MARKS.finditer(text, 0, size)]
-    if "฀" <= max(text[:4000]) and _THAI.search(text):
+    if not text.isascii() and _THAI.search(text):
         marks += [(m.start(), m.start(), "") for m in _THAI.finditer(text, 0, size)]
         marks.sort()
     found: list[int] = []
