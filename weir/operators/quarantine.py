@@ -63,8 +63,7 @@ class QuarantineStore:
         version = self.store.write(marked, f"quarantine_{layer}", mode="append", merge_schema=True, run_id=run_id)
         if self.store.format == "delta":
             return marked.count()
-        folder = self.store.entry(f"quarantine_{layer}", version)["folders"][-1]
-        return self.store.spark.read.format(self.store.format).load(f"{self.store.root}/quarantine_{layer}/{folder}").count()
+        return self.store.last_write(f"quarantine_{layer}", version).count()
 
     def over_limit(self, quarantined: int, total: int) -> bool:
         """Whether more than ``max_pct`` of the rows were rejected."""

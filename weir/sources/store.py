@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: The folder of one write; also keeps apart the partition columns of different writes.
+BATCH = "weir_batch"
+
+
 class TableStore:
     """``format`` is the file format; ``delta`` passes reads and writes through to that source."""
 
@@ -58,15 +62,15 @@ class TableStore:
             (writer.partitionBy(*partition_by) if partition_by else writer).save(f"{self.root}/{table}")
             return 0
         have = self.versions(table)
-        before = self.entry(table, have[-1]) if have else {"folders": [], "schema": None}
+        before = self.entry(table, have[-1]) if have else {"folders": {}, "schema": None}
         schema = df.schema
         if before["schema"] is not None and (mode == "append" or merge_schema):
             schema = merged_schema(StructType.fromJson(before["schema"]), schema, merge_schema)
-        folder = f"data/{uuid.uuid4().hex}"
+        folder = f"data/{BATCH}={uuid.uuid4().hex}"
         writer = df.write.format(self.format)
         (writer.partitionBy(*partition_by) if partition_by else writer).save(f"{self.root}/{table}/{folder}")
         version = have[-1] + 1 if have else 0
-        folders = [*before["folders"], folder] if mode == "append" else [folder]
+        folders = {**(before["folders"] if mode == "append" else {}), folder: json.loads(nullable(df.schema).json())}
         self._publish(table, version, {"folders": folders, "schema": json.loads(nullable(schema).json()), "mode": mode, "run_id": run_id, "at": datetime.now(timezone.utc).isoformat()})
         return version
 
@@ -84,23 +88,33 @@ class TableStore:
         entry = self.entry(table, have[-1] if version is None else version)
         schema = StructType.fromJson(entry["schema"])
         kinds = {f.name: f.dataType for f in schema.fields}
-        plain, cast = [], []
-        for folder in entry["folders"]:
-            part = self.spark.read.format(self.format).load(f"{self.root}/{table}/{folder}")
-            same = all(part.schema[c].dataType == kinds[c] for c in part.columns)
-            (plain if same else cast).append(folder)
-        frames = []
-        if plain:
-            # a bare schema: one scan over all folders of one layout
-            frames.append(self.spark.read.format(self.format).schema(schema).load([f"{self.root}/{table}/{f}" for f in plain]))
-        for folder in cast:
-            part = self.spark.read.format(self.format).load(f"{self.root}/{table}/{folder}")
-            frames.append(part.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in part.columns]))
+        plain, frames = [], []
+        for folder, layout in entry["folders"].items():
+            own = StructType.fromJson(layout)
+            if all(f.dataType == kinds[f.name] for f in own.fields):
+                plain.append(folder)
+            else:
+                part = self._load(table, [folder], own)
+                frames.append(part.select(*[F.col(f"`{f.name}`").cast(kinds[f.name]).alias(f.name) for f in own.fields]))
+        if plain:  # one scan over all folders without a change of type
+            frames.insert(0, self._load(table, plain, schema))
         out = frames[0]
         for frame in frames[1:]:
             out = out.unionByName(frame, allowMissingColumns=True)
         return out.select(*[f"`{f.name}`" for f in schema.fields])
 
+    def _load(self, table: str, folders: list[str], schema: StructType) -> DataFrame:
+        return self.spark.read.format(self.format).schema(schema).option("basePath", f"{self.root}/{table}/data").load([f"{self.root}/{table}/{f}" for f in folders])
+
+    def last_write(self, table: str, version: int) -> DataFrame:
+        """The rows that the write of ``version`` brought."""
+        folder, layout = list(self.entry(table, version)["folders"].items())[-1]
+        return self._load(table, [folder], StructType.fromJson(layout))
+
+    def compact(self, table: str, files: int = 1) -> int:
+        """Rewrites a table of many appends into one folder of ``files`` files."""
+        return self.write(self.read(table).repartition(files), table)
+
     def upsert(self, changes: DataFrame, table: str, keys: list[str], run_id: str = "") -> int:
         """Replaces rows with the keys of ``changes`` and adds the new ones, as a new version."""
         if not self.exists(table):
