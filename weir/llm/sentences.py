@@ -38,7 +38,7 @@ OPENERS = set("the a an in at it is as each this that other thus unlike der die
 _LETTER = r"A-Za-zÀ-ÖØ-öø-ÿĀ-ɏ"
 _CJK = "぀-ヿ㐀-鿿豈-﫿ｦ-ﾝ"
 _MARKS = re.compile(
-    "(?:(?<=[" + _CJK + ")）」』”℃])[.．](?=[0-9０-９])|[.．](?![0-9０-９.．])|[.．]{2,}|[?!？！]+[.?!？！]*|[。｡।॥…]+|(?<=[ऀ-ॿ)\"”])[ ]?\\|(?![|\\w]))"
+    "(?:(?<=[" + _CJK + ")）」』”℃])[.．](?=[0-9０-９])|[.．](?![0-9０-９.．])|[.．]{2,}|[?!？！]+[.?!？！]*|[。｡।॥…]+[。｡।॥…？！?!]*|(?<=[ऀ-ॿ)\"”])[ ]?\\|(?![|\\w]))"
     "(?:[\"'”’“»«」』›]+|[   ]»)?"
 )
 _THAI = re.compile("(?<=[ก-๎])[  ]+(?=[ก-๎])")
@@ -49,6 +49,7 @@ _BRACKETED = re.compile(rf"\((?:[^()\n]|{_LINE}){{0,240}}\)|（[^（）\n]{{0,24
 _LIST_LABEL = re.compile(r"[\s(][a-z]\)$")
 _WORD_BEFORE = re.compile(r"[^\s(（\[“”„«»\"「」]*$")
 _WORD_AFTER = re.compile(r"[^\s.,;:!?]+")
+_STRAY = re.compile(r"\s+(?=\S)")
 _ALPHA = re.compile(rf"[{_LETTER}ऀ-ॿ][{_LETTER}ऀ-ॿ'’-]*$")
 _FULL_STOP = set(".．")
 _STRONG = set("。｡।॥|")
@@ -75,17 +76,28 @@ def _pairs(pattern: re.Pattern, text: str) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def _opening(text: str, at: int) -> float:
-    """How much the text at ``at`` looks like the start of a sentence."""
+def _opening(text: str, at: int, latin: bool = False, peek: bool = True) -> float:
+    """How much the text at ``at`` looks like the start of a sentence. A stray word of another script
+    or in small letters (machine translation leaves them) is looked past: the next word may open one.
+    ``latin``: whether the text before is in letters with case."""
     c = text[at]
     if c.isupper() or c in "¿¡„«“\"「【[(（•§":
         m = _WORD_AFTER.match(text, at)
         return 5.0 if m and m[0].lower() in OPENERS else 4.0
     if c.isdigit() or c in "∑√$<":
         return 3.0
-    if c.islower():
+    if c.islower() or (latin and c.isalpha()):
         m = _WORD_AFTER.match(text, at)
-        return 5.0 if m and m[0] in SMALL_OPENERS else -4.0
+        if m and m[0] in SMALL_OPENERS:
+            return 5.0
+        stray = _STRAY.match(text, m.end()) if peek and m else None
+        if stray and text[stray.end()].isupper():
+            own = _WORD_AFTER.match(text, stray.end())
+            if own and own[0].lower() in OPENERS:
+                return 3.0
+        if not c.islower() and stray:
+            return _opening(text, stray.end(), latin, False)
+        return -4.0
     return 3.0 if c.isalpha() else 0.0  # scripts without case
 
 
@@ -93,6 +105,10 @@ def _is_cjk(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿"
 
 
+def _cased(c: str) -> bool:
+    return c.lower() != c.upper()
+
+
 def _end_score(text: str, start: int, mark: str, stop: int, end: int, after: int, fresh: int, quote_end: int, in_bracket: bool) -> float:
     """Log-odds that a unit ends at ``end``. ``start``..``stop`` is the mark, ``end`` includes closing
     quotation marks, ``after`` is where the text goes on, ``fresh`` is where the open unit begins."""
@@ -106,9 +122,10 @@ def _end_score(text: str, start: int, mark: str, stop: int, end: int, after: int
     if nxt in ",;" or (nxt in ")）"):
         return NEVER
     if closed and quote_end:  # a quotation ends here: does the sentence go on?
-        if _is_cjk(nxt) or "ऀ" <= nxt <= "ॿ":
+        latin = _cased(text[start - 1 : start])
+        if (_is_cjk(nxt) and not latin) or "ऀ" <= nxt <= "ॿ":
             return NEVER
-        opens = _opening(text, after)
+        opens = _opening(text, after, latin)
         return SURE if opens >= 3 else NEVER if opens < 0 else 1.0
     head = mark[0]
     if head in _STRONG:
@@ -128,15 +145,15 @@ def _end_score(text: str, start: int, mark: str, stop: int, end: int, after: int
     if last.isdigit():
         if word.isdigit() and start - len(word) <= fresh:
             return NEVER  # the number of a claim or paragraph opens the unit
-        if _is_cjk(nxt) or not gap:
+        if not gap:
             return SURE if _is_cjk(nxt) or nxt in "[【" else 1.0 if nxt.isupper() else NEVER
-        if nxt.islower() and _opening(text, after) < 0:
+        if nxt.isalpha() and _opening(text, after, not _is_cjk(nxt) or gap) < 0:
             return NEVER
         before = text[max(fresh, start - len(word) - 24) : start - len(word)].split()
         if word.isdigit() and before and before[-1].lower() in ORDINAL_BEFORE and nxt.isupper():
             return NEVER
         return SURE
-    if _is_cjk(last) or _is_cjk(nxt):
+    if _is_cjk(last) or (_is_cjk(nxt) and not gap):
         return SURE if not (word.isascii() and len(word) < 3) else 2.0
     low = word.lower().lstrip("'’„“‚-–")
     low = low[low.rfind("/") + 1 :]
@@ -144,10 +161,10 @@ def _end_score(text: str, start: int, mark: str, stop: int, end: int, after: int
         return NEVER
     if not gap:
         plain = _ALPHA.search(word)
-        if plain and len(plain[0]) > 1 and "." not in word and "=" not in word and "_" not in word and (nxt.isupper() or nxt in "¿¡„«[【" or text.startswith("pH ", after)):
+        if plain and len(plain[0]) > 1 and (len(plain[0]) > 2 or plain[0].islower()) and "." not in word and "=" not in word and "_" not in word and (nxt.isupper() or nxt in "¿¡„«[【" or text.startswith("pH ", after)):
             return SURE if len(plain[0]) > 2 else 3.0
         return NEVER
-    opens = _opening(text, after)
+    opens = _opening(text, after, _cased(last))
     if low in MAY_BE_FINAL:
         return SURE if opens >= 3 else NEVER
     if low in AFTER_NUMBER:
