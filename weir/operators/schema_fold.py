@@ -19,6 +19,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weir.sources.session import cut
+
 # The contract's fields, each with its class.
 CONTRACT = {"order_id": "string", "customer_id": "string", "product_id": "string", "order_status": "string", "quantity": "integer", "unit_price": "decimal", "currency": "string", "order_timestamp": "string"}
 # What a field's values look like, as a whole and in any case.
@@ -161,8 +163,10 @@ def layout_changes(lines: DataFrame) -> DataFrame:
     line = Window.partitionBy("feed").orderBy("file_seq", "file_id")
     files = files.withColumn("next_file", F.lead("file_id").over(line)).withColumn("_first", F.row_number().over(line) == 1)
     contract = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(c).alias("class")) for f, c in CONTRACT.items()])
+    files = cut(files)  # one row per file
+    names = cut(file_names(parsed_lines(lines)))  # one row per file and name: the lines are read once
     start = files.where("_first").select("feed", F.lit(None).cast("int").alias("file_seq"), F.lit(None).cast("bigint").alias("file_id"), F.col("file_id").alias("next_file"), F.explode(contract).alias("_c")).select("feed", "file_seq", "file_id", "next_file", F.col("_c.field").alias("name"), F.col("_c.field").alias("field"), F.col("_c.class").alias("class"))
-    own = file_fields(file_names(parsed_lines(lines))).groupBy("file_id", "field").agg(F.min("name").alias("name"), F.collect_set("class").alias("_classes")).withColumn("class", join_class(F.col("_classes"))).join(files.select("file_id", "feed", "file_seq", "next_file"), "file_id")
+    own = file_fields(names).groupBy("file_id", "field").agg(F.min("name").alias("name"), F.collect_set("class").alias("_classes")).withColumn("class", join_class(F.col("_classes"))).join(files.select("file_id", "feed", "file_seq", "next_file"), "file_id")
     kept = Window.partitionBy("feed", "field").orderBy(F.col("file_seq").asc_nulls_first(), "file_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     facts = start.unionByName(own.select(*start.columns)).withColumn("class", F.last("class", ignorenulls=True).over(kept))
     now = facts.where("file_id is not null").select("file_id", "field", F.struct("name", "class").alias("now"), F.lit(None).cast("struct<name:string,class:string>").alias("was"))
@@ -182,9 +186,14 @@ def layout_changes(lines: DataFrame) -> DataFrame:
 
 
 def union_schema(lines: DataFrame) -> dict[str, str]:
-    """Field -> class over all files, contract first. One row per field reaches the driver; more
-    than MAX_FIELDS raise an error."""
-    fold = file_fields(file_names(parsed_lines(lines))).groupBy("field").agg(F.collect_set("class").alias("_c")).select("field", F.coalesce(join_class(F.col("_c")), F.lit("string")).alias("class"))
+    """Field -> class over all files, contract first."""
+    return folded_schema(file_fields(cut(file_names(parsed_lines(lines)))))
+
+
+def folded_schema(resolved: DataFrame) -> dict[str, str]:
+    """The fold of all files' fields. One row per field reaches the driver; more than MAX_FIELDS raise
+    an error."""
+    fold = resolved.groupBy("field").agg(F.collect_set("class").alias("_c")).select("field", F.coalesce(join_class(F.col("_c")), F.lit("string")).alias("class"))
     found = {r["field"]: r["class"] for r in fold.orderBy("field").limit(MAX_FIELDS + 1).collect()}
     if len(found) > MAX_FIELDS:
         raise ValueError(f"more than {MAX_FIELDS} fields")
@@ -203,9 +212,10 @@ def read_consistent(lines: DataFrame, schema: dict[str, str] | None = None) -> D
 
     Files delivered twice count once. A record whose file lacks a field has null there.
     """
-    schema = schema or union_schema(lines)
     parsed = parsed_lines(lines)
-    fields = file_fields(file_names(parsed)).groupBy("file_id").agg(F.map_from_entries(F.collect_set(F.struct("name", "field"))).alias("_fields"))
+    resolved = file_fields(cut(file_names(parsed)))
+    schema = schema or folded_schema(resolved)
+    fields = resolved.groupBy("file_id").agg(F.map_from_entries(F.collect_set(F.struct("name", "field"))).alias("_fields"))
     once = parsed.where("not is_header").groupBy("file_id", "line_no").agg(F.min(F.struct("names", "tokens")).alias("_r"))
     record = once.join(fields, "file_id").select(
         "file_id",
