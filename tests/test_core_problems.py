@@ -110,6 +110,18 @@ def test_shares_at_the_bound_are_no_issue(spark):
     assert found == {"pattern"}
 
 
+def test_table_profile(spark):
+    data = [("l", i, float("nan") if i < 3 else i / 2, None if i % 2 else f"v{i}", T0 + timedelta(seconds=i)) for i in range(40)] + [(None, 1, 1.0, "x", T0)]
+    df = spark.createDataFrame(data, "load string, i int, d double, s string, t timestamp_ntz").withColumn("m", F.create_map(F.lit("a"), "i"))
+    found = {r["column_name"]: r for r in profile.table_profile(profile.mask_histogram(df, F.col("load"), ["i", "d", "s", "t", "m"])).collect()}
+    assert set(found) == {"i", "d", "s", "t", "m"} and all(r["row_count"] == 40 for r in found.values())
+    assert (found["d"]["null_count"], found["d"]["min_number"], found["d"]["max_number"]) == (3, 1.5, 19.5)
+    assert (found["s"]["null_count"], found["s"]["min_length"], found["s"]["max_length"], found["s"]["dominant_mask"], found["s"]["dominant_count"]) == (20, 2, 3, "a99", 15)
+    assert found["t"]["max_number"] - found["t"]["min_number"] == 39e6
+    assert abs(found["i"]["distinct_estimate"] - 40) <= 6
+    assert profile.mask_histogram(df.limit(0), F.col("load"), ["i"]).count() == 0
+
+
 def test_masks_of_odd_values(spark):
     masks = profile.value_histogram(spark.createDataFrame([("l", v) for v in ("Ab-12", "ÄÖ x\t\ty", "a" * 100_000, "  ")], "load string, c string"), F.col("load"), ["c"])
     assert {r["mask"] for r in masks.collect()} == {"Aa-99", "u a a", "a", None}

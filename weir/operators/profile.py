@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DoubleType, FloatType, NumericType, TimestampNTZType, TimestampType
 
 from weir.functions.blank import is_blank
 from weir.functions.masks import value_mask
+from weir.operators.rules import as_utc
+from weir.sources.session import cut
 
 
 def _text(df: DataFrame, column: str) -> Column:
@@ -43,6 +46,65 @@ def value_histogram(df: DataFrame, load: Column, columns: list[str]) -> DataFram
     )
 
 
+def _number(df: DataFrame, column: str) -> Column:
+    """The value as a number: numbers themselves, times as microseconds since 1970, else null."""
+    kind = df.schema[column].dataType
+    value = F.col("`" + column.replace("`", "``") + "`")
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~F.isnan(value), value.cast("double"))
+    if isinstance(kind, NumericType):
+        return value.cast("double")
+    if isinstance(kind, (TimestampType, TimestampNTZType, DateType)):
+        return as_utc(kind, value).cast("double")
+    return F.lit(None).cast("double")
+
+
+def mask_histogram(df: DataFrame, load: Column, columns: list[str]) -> DataFrame:
+    """(load_id, column_name, mask, n, distinct_estimate, min_number, max_number, min_length,
+    max_length) for wide tables and columns of many values: only masks are grouped, values are
+    estimated (HyperLogLog++, 5 % standard error). All buffers have a fixed size, so cells are hashed
+    and combined where they are read. ``mask`` is null for rows without value; rows without load and
+    empty tables give no rows.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _text(df, c).alias("value"), _number(df, c).alias("number")) for c in columns])
+    return (
+        df.select(load.alias("load_id"), F.explode(cells).alias("_cell"))
+        .where(~is_blank(F.col("load_id")))
+        .select("load_id", "_cell.column_name", "_cell.value", "_cell.number", value_mask(F.col("_cell.value")).alias("mask"))
+        .groupBy("load_id", "column_name", "mask")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.approx_count_distinct("value").alias("distinct_estimate"),
+            F.min("number").alias("min_number"),
+            F.max("number").alias("max_number"),
+            F.min(F.length("value")).alias("min_length"),
+            F.max(F.length("value")).alias("max_length"),
+        )
+    )
+
+
+def table_profile(masks: DataFrame) -> DataFrame:
+    """``mask_histogram`` rolled up to (load_id, column_name); the dominant mask is the most frequent,
+    ties by the greater mask."""
+    valued = F.col("mask").isNotNull()
+    return (
+        masks.groupBy("load_id", "column_name")
+        .agg(
+            F.sum("n").alias("row_count"),
+            F.sum(F.when(~valued, F.col("n")).otherwise(0)).alias("null_count"),
+            F.sum(F.when(valued, F.col("distinct_estimate")).otherwise(0)).alias("distinct_estimate"),
+            F.min("min_number").alias("min_number"),
+            F.max("max_number").alias("max_number"),
+            F.min("min_length").alias("min_length"),
+            F.max("max_length").alias("max_length"),
+            F.count("mask").alias("mask_count"),
+            F.max(F.when(valued, F.struct("n", "mask"))).alias("_top"),
+        )
+        .select("*", F.col("_top.mask").alias("dominant_mask"), F.col("_top.n").alias("dominant_count"))
+        .drop("_top")
+    )
+
+
 def mask_profile(histogram: DataFrame, specs: DataFrame) -> DataFrame:
     """Per (load_id, column_name, mask): rows, distinct values, rows off the declared pattern, rows
     out of the declared range. ``specs`` has column_name, value_pattern, min_value, max_value.
@@ -122,7 +184,8 @@ def rare_masks(masks: DataFrame, least_share: float = 0.05) -> DataFrame:
 
 def load_issues(histogram: DataFrame, specs: DataFrame, order: DataFrame, distinct_columns: list[str], shift_columns: list[str], null_share: float = 0.2, pattern_share: float = 0.05, range_share: float = 0.05, shift: float = 0.5) -> DataFrame:
     """(column_name, load_id, issue) of every load that breaks a bound; see TESTDATA.md, p2."""
-    profile = column_profile(mask_profile(histogram, specs)).select("load_id", "column_name", "row_count", "null_count", "value_count", "distinct_values", "off_pattern", "out_of_range")
+    # read three times below; it holds a row per load and column
+    profile = cut(column_profile(mask_profile(histogram, specs))).select("load_id", "column_name", "row_count", "null_count", "value_count", "distinct_values", "off_pattern", "out_of_range")
     before = profile.join(order.where("next_load is not null").select("load_id", "next_load"), "load_id").select(
         F.col("next_load").alias("load_id"), "column_name", F.col("distinct_values").alias("distinct_before")
     )

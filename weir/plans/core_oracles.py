@@ -113,6 +113,8 @@ UNION ALL SELECT table_name, column_name, load_id, 'range' FROM paired WHERE bey
 UNION ALL SELECT table_name, column_name, load_id, 'distinct' FROM paired WHERE column_name IN ('customer_id', 'rule_name', 'dataset_name')
   AND valued > 0 AND distinct_before > 0 AND (distinct_values * 2 < distinct_before OR distinct_values > 2 * distinct_before)
 UNION ALL SELECT table_name, column_name, load_id, 'shift' FROM paired WHERE column_name IN ('rule_name', 'dataset_name') AND d > 0.5""",
+    "p2_rare_masks": f"""WITH {_CELLS}, masks AS (SELECT table_name, column_name, load_id, {_MASK} AS mask, count(*) AS n FROM valued WHERE v IS NOT NULL AND column_name NOT IN ('quantity', 'unit_price') GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY table_name, column_name, load_id) AS BIGINT) AS value_count FROM masks) WHERE n / value_count < 0.05""",
     "p3_daily": _quantiles("currency, order_day"),
     "p3_overall": _quantiles("currency"),
     "p4_found": f"WITH {_ORPHANS} SELECT DISTINCT order_id, field_name, key_state FROM judged WHERE key_state IS NOT NULL",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weir.functions.blank import is_blank
 from weir.operators import late_events, orphans, profile, quantile_sketch, schema_fold
+from weir.sources.session import cut
 from weir.sources.tables import read_table
 
 ORDER_EVENTS = {"key": "order_id", "event": "order_timestamp", "arrival": "ingestion_timestamp", "group": "currency", "amount": "total_amount"}
@@ -50,24 +51,32 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """Every column of both tables by load: rows, nulls, values, distinct values, dominant mask."""
+    """Every column of both tables by load: rows, nulls, distinct values, range, dominant mask."""
     found = []
     for table in ("silver_orders", "metrics"):
         df = read_table(spark, folder, table)
-        columns = [c for c in df.columns if c != LOAD[table]]
-        none = spark.createDataFrame([], "column_name string, value_pattern string, min_value double, max_value double")
-        histogram = profile.value_histogram(df, F.col(LOAD[table]), columns)
-        found.append(profile.column_profile(profile.mask_profile(histogram, none)).select(F.lit(table).alias("table_name"), "load_id", "column_name", "row_count", "null_count", "value_count", "distinct_values", "mask_count", "dominant_mask", "dominant_count"))
+        masks = profile.mask_histogram(df, F.col(LOAD[table]), [c for c in df.columns if c != LOAD[table]])
+        found.append(profile.table_profile(masks).withColumn("table_name", F.lit(table)))
     return found[0].unionByName(found[1])
 
 
 def p2_mask_shift(spark: SparkSession, folder: str) -> DataFrame:
-    """How far the masks of each checked column moved against the load before."""
+    """How far the masks of every column moved against the load before."""
     found = []
     for table, order in zip(("silver_orders", "metrics"), _loads(spark, folder), strict=True):
-        histogram = profile.value_histogram(read_table(spark, folder, table), F.col(LOAD[table]), CHECKED[table])
-        totals = histogram.where("value is not null").groupBy("load_id", "column_name").agg(F.sum("n").alias("value_count"))
-        found.append(profile.divergence(histogram, totals, order, "mask").select(F.lit(table).alias("table_name"), "column_name", "load_id", F.round("divergence", 9).alias("divergence")))
+        df = read_table(spark, folder, table)
+        masks = cut(profile.mask_histogram(df, F.col(LOAD[table]), [c for c in df.columns if c != LOAD[table]]))
+        totals = masks.where("mask is not null").groupBy("load_id", "column_name").agg(F.sum("n").alias("value_count"))
+        found.append(profile.divergence(masks, totals, order, "mask").select(F.lit(table).alias("table_name"), "column_name", "load_id", F.round("divergence", 9).alias("divergence")))
+    return found[0].unionByName(found[1])
+
+
+def p2_rare_masks(spark: SparkSession, folder: str) -> DataFrame:
+    """Masks of the checked text columns that few values of their load have: likely violations."""
+    found = []
+    for table in ("silver_orders", "metrics"):
+        masks = profile.mask_histogram(read_table(spark, folder, table), F.col(LOAD[table]), [c for c in CHECKED[table] if c in DISTINCT_CHECKED])
+        found.append(profile.rare_masks(masks).select(F.lit(table).alias("table_name"), "column_name", "load_id", "mask", "n", "value_count"))
     return found[0].unionByName(found[1])
 
 
@@ -130,4 +139,4 @@ def p5_records(spark: SparkSession, folder: str) -> DataFrame:
     return schema_fold.read_consistent(read_table(spark, folder, "raw_order_files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_revenue, p2_found, p2_profile, p2_mask_shift, p3_daily, p3_overall, p4_found, p4_daily, p5_found, p5_records)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_revenue, p2_found, p2_profile, p2_mask_shift, p2_rare_masks, p3_daily, p3_overall, p4_found, p4_daily, p5_found, p5_records)}
