@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weir.sources.session import cut
+
 
 def existence_changes(history: DataFrame, table: str, key: str, kind: str, at: str) -> DataFrame:
     """(ref_table, ref_key, at, alive): repeated rows once, 1 for created or restored, 0 for deleted.
@@ -57,7 +59,8 @@ def orphan_references(references: DataFrame, changes: DataFrame, payload: list[s
     """
     named, payload = payload, [f"_p{i}" for i in range(len(payload))]
     references = references.select(*[F.col(c).alias(p) for c, p in zip(named, payload, strict=True)], "ref_table", "ref_key", "at").where("ref_table is not null and ref_key is not null and at is not null")
-    doubtful = ledger(references.select("ref_table", "ref_key", "at"), changes).where("state <> 'present' and refs > 0").select("ref_table", "ref_key", "day", "state", "alive_before", "_opens")
+    # read three times below; it holds a row per key and day of reference, without those of present keys
+    doubtful = cut(ledger(references.select("ref_table", "ref_key", "at"), changes).where("state <> 'present' and refs > 0").select("ref_table", "ref_key", "day", "state", "alive_before", "_opens"))
     met = references.withColumn("day", F.to_date("at")).join(doubtful, ["ref_table", "ref_key", "day"])
     columns = [*payload, "ref_table", "ref_key", "at"]
     plain = met.where("state <> 'mixed'").select(*columns, F.col("state").alias("key_state"))
