@@ -108,10 +108,12 @@ def join_class(classes: Column) -> Column:
 
 
 def file_names(parsed: DataFrame) -> DataFrame:
-    """(file_id, name, class, value_count, likes) with likes[field] = values that look like field's."""
+    """(file_id, name, class, value_count, like_<field>...): like_<field> counts the values that look
+    like that field's, under names that are no field's own."""
     cells = parsed.select("file_id", F.explode(F.when(F.col("is_header"), F.transform("names", lambda n: F.struct(n.alias("name"), F.lit(None).cast("string").alias("token")))).otherwise(F.zip_with("names", "tokens", lambda n, t: F.struct(n.alias("name"), t.alias("token"))))).alias("_c")).where("_c.name is not null and _c.name <> ''")
     bare = F.trim(_bare(F.col("token")))
-    likes = [F.count_if(F.coalesce(F.regexp_like(bare, F.lit(rf"(?i)\A({p})\z")), F.lit(False))).alias(f"like_{f}") for f, p in CONTENT.items()]
+    foreign = ~F.col("name").isin(list(CONTRACT))  # a field's own name needs no look at its values
+    likes = [F.count_if(F.when(foreign, F.regexp_like(bare, F.lit(rf"(?i)\A({p})\z")))).alias(f"like_{f}") for f, p in CONTENT.items()]
     return (
         cells.select("file_id", "_c.name", "_c.token")
         .withColumn("_class", _class(F.col("token")))
