@@ -143,6 +143,16 @@ def test_quantiles_within_bound_and_merge(spark):
     assert quantile_sketch.quantiles(quantile_sketch.sketch(df.limit(0), "v", ["day"]), ["day"], [0.5]).count() == 0
 
 
+def test_exact_quantiles(spark):
+    r = random.Random(4)
+    for values in ([1.0], [2.0, 1.0], [5.0] * 50 + [float(r.randint(-40, 40)) for _ in range(301)], [-0.0, 0.0, -3.5], []):
+        df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+        wanted = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+        exact = df.where(~F.isnan("v")).agg(F.percentile("v", F.array(*[F.lit(p) for p in wanted])).alias("q")).first()["q"] or [None] * 6
+        found = quantile_sketch.exact_quantiles(df, "v", wanted)
+        assert all((a is None and b is None) or abs(a - b) < 1e-9 for a, b in zip(exact, found, strict=True))
+
+
 def brute_orphans(references, history):
     out = []
     for name, table, key, at in references:

@@ -63,3 +63,43 @@ def quantiles(sketches: DataFrame, groups: list[str], probabilities: list[float]
         .where((F.col("_w.rank") <= F.col("_upto")) & (F.col("_w.rank") > F.col("_upto") - F.col("n")))
         .select(*groups, F.col("_w.probability").alias("probability"), F.when(F.col("sign") == 0, F.lit(0.0)).otherwise(estimate).alias("estimate"), "value_count")
     )
+
+
+def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], accuracy: float = 0.001) -> list[float | None]:
+    """Exact percentiles, interpolated between the two nearest ranks as by ``percentile``.
+
+    Two passes and no group in one place: bucket counts tell in which bucket each wanted rank lies;
+    then only the values of those few buckets are counted, each distinct value once, and ranked within
+    their bucket. Null, not-a-number and infinite values are left out; without values all are None.
+    """
+    buckets = sketch(df, value, [], accuracy)
+    total = buckets.agg(F.sum("n").alias("n")).first()["n"]
+    if not total:
+        return [None] * len(probabilities)
+    places = [p * (total - 1) for p in probabilities]
+    ranks = sorted({int(x) + 1 for x in places} | {min(total, int(x) + 2) for x in places})
+    order = F.col("sign") * F.when(F.col("sign") == 0, F.lit(0)).otherwise(F.col("bucket"))
+    # one row per bucket, a bounded number
+    upto = Window.orderBy("sign", order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = (
+        buckets.withColumn("_upto", F.sum("n").over(upto))
+        .select("sign", "bucket", (F.col("_upto") - F.col("n")).alias("_below"), F.filter(F.array(*[F.lit(r).cast("bigint") for r in ranks]), lambda r: (r <= F.col("_upto")) & (r > F.col("_upto") - F.col("n"))).alias("_ranks"))
+        .where(F.size("_ranks") > 0)
+    )
+    v = F.col(value).cast("double")
+    inside = (
+        df.select(v.alias("_v"))
+        .where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs(F.col("_v")) < F.lit(float("inf"))))
+        .select("_v", F.signum("_v").cast("int").alias("sign"), bucket_index(F.col("_v"), accuracy).alias("bucket"))
+        .join(F.broadcast(wanted), ["sign", "bucket"])  # at most two rows per probability
+        .groupBy("sign", "bucket", "_below", "_ranks", "_v")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    so_far = Window.partitionBy("sign", "bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picked = inside.withColumn("_upto", F.col("_below") + F.sum("n").over(so_far)).select("_v", F.explode(F.filter("_ranks", lambda r: (r <= F.col("_upto")) & (r > F.col("_upto") - F.col("n")))).alias("rank"))
+    at = {r["rank"]: r["_v"] for r in picked.collect()}  # two rows per probability
+    out: list[float | None] = []
+    for x in places:
+        low, high, part = at[int(x) + 1], at[min(total, int(x) + 2)], x - int(x)
+        out.append(low if part == 0 else low + (high - low) * part)
+    return out

@@ -1,6 +1,6 @@
 """The ten rules: what each adds to a fused plan, how it judges the numbers, which rows fail it.
 
-An evaluator never runs a job of its own. ``scan`` gives aggregate expressions over all rows, ``keys``
+``scan`` gives aggregate expressions over all rows, ``keys``
 the key lists it needs counted, ``parents`` the join it needs; ``judge`` reads the numbers. The planner
 (``weir.plans.fused``) puts the parts of a whole rule set into one scan, one grouping per key list and
 one anti join per reference.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, DoubleType, FloatType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
 
 from weir.model import AcceptedValues, CheckResult, DistributionAnomaly, Duplicates, Freshness, NotNull, PositiveNumeric, ReferentialIntegrity, RowCountAnomaly, Rule, SchemaDrift, UniqueKey
+from weir.operators.quantile_sketch import exact_quantiles
 
 SAMPLE = 20
 #: Accepted values beyond this number are joined instead of listed in the plan.
@@ -50,6 +51,10 @@ class Evaluator:
         """A frame whose rows fail, to be counted; None if the scan suffices."""
         return None
 
+    def separate(self, df: DataFrame, rule: Any, context: Context) -> dict[str, Any]:
+        """Numbers that no single aggregation gives; the only part that may run jobs of its own."""
+        return {}
+
     def judge(self, rule: Any, total: int, found: dict[str, Any], context: Context) -> tuple[bool, int, dict]:
         raise NotImplementedError
 
@@ -334,9 +339,13 @@ class DistributionAnomalyEvaluator(Evaluator):
 
     def scan(self, df, rule: DistributionAnomaly, context):
         v = F.when(~_is_nan(df, rule.column), column(rule.column).cast("double"))
-        bands = F.array(*[F.lit(float(b)) for b in rule.bands])
-        quantiles = F.percentile_approx(v, [float(b) for b in rule.bands], max(1, round(1 / rule.relative_error))) if rule.approximate else F.percentile(v, bands)
-        return {"count": F.count(v), "mean": F.avg(v), "stddev": F.stddev(v), "min": F.min(v), "max": F.max(v), "skewness": F.skewness(v), "kurtosis": F.kurtosis(v), "nan_count": F.count_if(_is_nan(df, rule.column)), "bands": quantiles}
+        bands = {"bands": F.percentile_approx(v, [float(b) for b in rule.bands], max(1, round(1 / rule.relative_error)))} if rule.approximate else {}
+        return {"count": F.count(v), "mean": F.avg(v), "stddev": F.stddev(v), "min": F.min(v), "max": F.max(v), "skewness": F.skewness(v), "kurtosis": F.kurtosis(v), "nan_count": F.count_if(_is_nan(df, rule.column)), **bands}
+
+    def separate(self, df, rule: DistributionAnomaly, context):
+        if rule.approximate:
+            return {}
+        return {"bands": exact_quantiles(df.select(column(rule.column).alias("_v")), "_v", [float(b) for b in rule.bands])}
 
     @staticmethod
     def statistics(rule: DistributionAnomaly, found: dict) -> dict[str, Any]:

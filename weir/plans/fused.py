@@ -73,6 +73,7 @@ def _run(df: DataFrame, planned: list[tuple[int, Rule, R.Evaluator]], dataset: s
     row = scan_plan(df, planned, context).first().asDict()
     by_keys = {keys: key_statistics(df, keys).first().asDict() for keys in {e.keys(r) for _, r, e in planned} - {None}}
     counted: dict[int, int] = {}
+    apart = {i: evaluator.separate(df, rule, context) for i, rule, evaluator in planned}
     for i, rule, evaluator in planned:
         joined = evaluator.join(df, rule, context)
         if joined is not None:
@@ -82,6 +83,7 @@ def _run(df: DataFrame, planned: list[tuple[int, Rule, R.Evaluator]], dataset: s
         own = {name.removeprefix(f"r{i}_"): v for name, v in row.items() if name.startswith(f"r{i}_")}
         own |= by_keys.get(evaluator.keys(rule), {}) if evaluator.keys(rule) else {}
         own |= {"joined": counted[i]} if i in counted else {}
+        own |= apart[i]
         own["_schema"] = df.schema.json()
         passed, failed, meta = evaluator.judge(rule, row["_total"], own, context)
         out = R.result(rule, dataset, passed, row["_total"], failed, meta)
