@@ -57,7 +57,8 @@ def _split(line: Column, sep: Column) -> Column:
     bare = F.concat(F.lit("[^"), F.when(sep == "|", F.lit("\\|")).otherwise(sep), F.lit("]*"))
     pattern = F.concat(F.lit("["), F.when(sep == "|", F.lit("\\|")).otherwise(sep), F.lit(']("(?:[^"]|"")*"|'), bare, F.lit(")"))
     cells = F.regexp_extract_all(F.concat(sep, line), pattern, F.lit(1))
-    return F.transform(cells, lambda c: F.when(c.startswith('"') & (F.length(c) > 1), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    guarded = F.transform(cells, lambda c: F.when(c.startswith('"') & (F.length(c) > 1), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.when(F.contains(line, F.lit('"')), guarded).otherwise(F.split(line, F.when(sep == "|", "\\|").otherwise(sep), -1))
 
 
 _PAIR = r'"((?:[^"\\]|\\.)*)"\s*:\s*("(?:[^"\\]|\\.)*"|[^,{}\[\]\s]+)'
@@ -91,24 +92,33 @@ def _bare(token: Column) -> Column:
     return F.when(quoted, F.replace(F.substring(token, F.lit(2), F.length(token) - 2), F.lit('\\"'), F.lit('"'))).otherwise(token)
 
 
-def _class(token: Column) -> Column:
+# The bit that stands for a class.
+BITS = {"integer": 1, "decimal": 2, "boolean": 4, "string": 8}
+
+
+def _class_bit(token: Column) -> Column:
     plain = F.trim(token)
     return (
-        F.when(token.isNull(), F.lit(None))
-        .when(F.regexp_like(plain, F.lit(r"\A[+-]?[0-9]+\z")), "integer")
-        .when(F.regexp_like(plain, F.lit(r"\A[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z")), "decimal")
-        .when(F.regexp_like(plain, F.lit(r"(?i)\A(true|false)\z")), "boolean")
-        .otherwise("string")
+        F.when(token.isNull(), F.lit(None).cast("int"))
+        .when(F.regexp_like(plain, F.lit(r"\A[+-]?[0-9]+\z")), BITS["integer"])
+        .when(F.regexp_like(plain, F.lit(r"\A[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z")), BITS["decimal"])
+        .when(F.regexp_like(plain, F.lit(r"(?i)\A(true|false)\z")), BITS["boolean"])
+        .otherwise(BITS["string"])
     )
 
 
-def join_class(classes: Column) -> Column:
-    """The least upper bound of a set of classes; null if it is empty."""
-    return F.when(F.size(classes) == 0, F.lit(None)).when(F.size(classes) == 1, classes[0]).when(F.size(F.array_except(classes, F.array(F.lit("integer"), F.lit("decimal")))) == 0, "decimal").otherwise("string")
+def join_class(bits: Column) -> Column:
+    """The least upper bound of a set of classes, given as bits; null if it is empty."""
+    return F.when(bits == 1, "integer").when(bits.isin(2, 3), "decimal").when(bits == 4, "boolean").when(bits > 0, "string")
+
+
+def _class_of(bits: Column) -> Column:
+    """The bit of the joined class, so that classes join over files as they do over cells."""
+    return F.when(bits.isin(1, 2, 4), bits).when(bits == 3, 2).when(bits > 0, BITS["string"])
 
 
 def file_names(parsed: DataFrame) -> DataFrame:
-    """(file_id, name, class, value_count, like_<field>...): like_<field> counts the values that look
+    """(file_id, name, class, value_count, like_<field>...): class is a bit, like_<field> counts the values that look
     like that field's, under names that are no field's own."""
     cells = parsed.select("file_id", F.explode(F.when(F.col("is_header"), F.transform("names", lambda n: F.struct(n.alias("name"), F.lit(None).cast("string").alias("token")))).otherwise(F.zip_with("names", "tokens", lambda n, t: F.struct(n.alias("name"), t.alias("token"))))).alias("_c")).where("_c.name is not null and _c.name <> ''")
     bare = F.trim(_bare(F.col("token")))
@@ -116,10 +126,10 @@ def file_names(parsed: DataFrame) -> DataFrame:
     likes = [F.count_if(F.when(foreign, F.regexp_like(bare, F.lit(rf"(?i)\A({p})\z")))).alias(f"like_{f}") for f, p in CONTENT.items()]
     return (
         cells.select("file_id", "_c.name", "_c.token")
-        .withColumn("_class", _class(F.col("token")))
+        .withColumn("_class", _class_bit(F.col("token")))
         .groupBy("file_id", "name")
-        .agg(F.collect_set("_class").alias("_classes"), F.count("token").alias("value_count"), *likes)
-        .withColumn("class", join_class(F.col("_classes")))
+        .agg(F.bit_or("_class").alias("_classes"), F.count("token").alias("value_count"), *likes)
+        .withColumn("class", _class_of(F.col("_classes")))
         .drop("_classes")
     )
 
@@ -168,7 +178,7 @@ def layout_changes(lines: DataFrame) -> DataFrame:
     files = cut(files)  # one row per file
     names = cut(file_names(parsed_lines(lines)))  # one row per file and name: the lines are read once
     start = files.where("_first").select("feed", F.lit(None).cast("int").alias("file_seq"), F.lit(None).cast("bigint").alias("file_id"), F.col("file_id").alias("next_file"), F.explode(contract).alias("_c")).select("feed", "file_seq", "file_id", "next_file", F.col("_c.field").alias("name"), F.col("_c.field").alias("field"), F.col("_c.class").alias("class"))
-    own = file_fields(names).groupBy("file_id", "field").agg(F.min("name").alias("name"), F.collect_set("class").alias("_classes")).withColumn("class", join_class(F.col("_classes"))).join(files.select("file_id", "feed", "file_seq", "next_file"), "file_id")
+    own = file_fields(names).groupBy("file_id", "field").agg(F.min("name").alias("name"), F.bit_or("class").alias("_classes")).withColumn("class", join_class(F.col("_classes"))).join(files.select("file_id", "feed", "file_seq", "next_file"), "file_id")
     kept = Window.partitionBy("feed", "field").orderBy(F.col("file_seq").asc_nulls_first(), "file_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     facts = start.unionByName(own.select(*start.columns)).withColumn("class", F.last("class", ignorenulls=True).over(kept))
     now = facts.where("file_id is not null").select("file_id", "field", F.struct("name", "class").alias("now"), F.lit(None).cast("struct<name:string,class:string>").alias("was"))
@@ -195,7 +205,7 @@ def union_schema(lines: DataFrame) -> dict[str, str]:
 def folded_schema(resolved: DataFrame) -> dict[str, str]:
     """The fold of all files' fields. One row per field reaches the driver; more than MAX_FIELDS raise
     an error."""
-    fold = resolved.groupBy("field").agg(F.collect_set("class").alias("_c")).select("field", F.coalesce(join_class(F.col("_c")), F.lit("string")).alias("class"))
+    fold = resolved.groupBy("field").agg(F.bit_or("class").alias("_c")).select("field", F.coalesce(join_class(F.col("_c")), F.lit("string")).alias("class"))
     found = {r["field"]: r["class"] for r in fold.orderBy("field").limit(MAX_FIELDS + 1).collect()}
     if len(found) > MAX_FIELDS:
         raise ValueError(f"more than {MAX_FIELDS} fields")
