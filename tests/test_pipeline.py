@@ -11,8 +11,8 @@ from weir.model import NotNull, RowCountAnomaly
 from weir.operators import medallion, metrics
 from weir.operators.quarantine import QuarantineStore
 from weir.plans.fused import checks
-from weir.plans.pipeline import CriticalFailure, PipelineConfig, run_pipeline
-from weir.sources import synth
+from weir.plans.pipeline import CriticalFailure, PipelineConfig, rule_results, run_pipeline, sql_observability
+from weir.sources import paths, synth
 from weir.sources.store import TableStore
 from weir.streaming import validation
 
@@ -116,6 +116,9 @@ def test_pipeline(spark, tmp_path, faults):
         assert orders.count() == 1000 and report["layers"]["silver"]["quarantined"] == 0
     again = run_pipeline(spark, config)
     assert again["layers"]["gold"]["status"] == "SUCCESS" and store.read("silver_orders").count() == orders.count()
+    found = sql_observability(spark, store)
+    assert {k: v[0] for k, v in found.items()} == {"orders_of_unknown_customers": True, "orders_of_unknown_products": True, "order_id_unique": True, "order_status_known": True, "customer_id_there": True, "dashboard": None}
+    assert found["dashboard"][1].count() > 0
     daily = [r for r in metrics.MetricsStore(store).read(dataset="gold_daily_revenue").where("metric_name = 'row_count_delta_pct'").collect()]
     assert [r["metric_value"] for r in daily] == [0.0]  # the second run saw the first
 
@@ -146,3 +149,15 @@ def test_streams(spark, tmp_path):
     assert drain(validation.deduplicated(stream, ["id"], "e", "1 hour"), "once", "append").count() == 60
     sums = drain(validation.windowed_sums(stream, "e", "1 hour", "10 minutes", ["g"], "v"), "sums", "complete")
     assert sums.agg(F.sum("record_count")).first()[0] == 61
+
+
+def test_rule_results_and_paths(spark):
+    df = spark.createDataFrame([("1", None), ("2", "x")], "id string, v string")
+    results = checks(df, [NotNull("n", column="v"), NotNull("fine", column="id")], "d")
+    row = rule_results(results, "r", "id", AT).collect()
+    assert [(x["rule_name"], x["record_id"], x["record_snapshot"]) for x in row] == [("n", "1", '{"id":"1"}')]
+    assert rule_results(results, "r", "id", AT).columns == schemas.schema("rule_results").fieldNames()
+    assert rule_results([], "r", "id", AT) is None
+    assert paths.layer_paths("gold", "/x/") == {t: f"/x/{t}" for t in ("gold_daily_revenue", "gold_product_performance", "gold_customer_ltv")}
+    with pytest.raises(ValueError):
+        paths.layer_paths("platinum")

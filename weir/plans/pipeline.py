@@ -6,11 +6,14 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weir import schemas
+from weir.functions import sqlchecks
 from weir.model import CheckResult, Rule
 from weir.operators import contracts, medallion, quarantine
 from weir.operators.metrics import MetricsStore
@@ -158,3 +161,34 @@ def run_pipeline(spark: SparkSession, config: PipelineConfig, events: DataFrame
         for table in [t for t in schemas.CONTRACT_NAMES if store.exists(t)]:
             store.vacuum(table, config.retention_versions)
     return report
+
+
+def sql_observability(spark: SparkSession, store: TableStore) -> dict[str, tuple[bool | None, DataFrame | None]]:
+    """The SQL checks over the Silver tables of a store, and the dashboard over its metrics."""
+    tables = [t for t in ("silver_orders", "silver_customers", "silver_products", "metrics") if store.exists(t)]
+    sqlchecks.register_views({t: store.read(t) for t in tables})
+    checks: dict[str, str | tuple[str, str]] = {}
+    if {"silver_orders", "silver_customers"} <= set(tables):
+        checks |= {
+            "orders_of_unknown_customers": sqlchecks.referential_integrity_sql("silver_orders", "customer_id", "silver_customers", "customer_id"),
+            "orders_of_unknown_products": sqlchecks.referential_integrity_sql("silver_orders", "product_id", "silver_products", "product_id"),
+            "order_id_unique": sqlchecks.uniqueness_sql("silver_orders", ["order_id"]),
+            "order_status_known": sqlchecks.accepted_values_sql("silver_orders", "order_status", list(schemas.STATUSES)),
+            "customer_id_there": ("not_null", sqlchecks.not_null_sql("silver_orders", "customer_id")),
+        }
+    found = sqlchecks.run_all_checks(spark, checks)
+    if "metrics" in tables:
+        found["dashboard"] = (None, spark.sql(sqlchecks.quality_dashboard_sql("metrics")))
+    return found
+
+
+def rule_results(results: Iterable[CheckResult], run_id: str, record_key: str, at: datetime) -> DataFrame | None:
+    """The failing rows of all failed rules in the layout of the rule_results table: key, reason and
+    the row as JSON. None if no failure blames rows."""
+    frames = []
+    for r in results:
+        if r.failed_df is not None:
+            key = F.col(f"`{record_key}`").cast("string") if record_key in r.failed_df.columns else F.lit(None).cast("string")
+            row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in r.failed_df.columns]))
+            frames.append(r.failed_df.select(F.lit(run_id).alias("run_id"), F.lit(r.rule_id).alias("rule_name"), F.lit(r.dataset).alias("dataset_name"), key.alias("record_id"), F.lit(f"{r.rule_id} ({r.severity})").alias("failure_reason"), row.alias("record_snapshot"), medallion.run_time(at).alias("run_timestamp")))
+    return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
