@@ -71,6 +71,14 @@ def test_late_outcomes_and_edges(spark):
     assert late_events.late_outcomes(df.limit(0), **EVENT).count() == 0
 
 
+def test_late_events_published_by_the_hour(spark):
+    h = timedelta(hours=1)
+    data = [("a", T0, T0 + h / 2, "g", 1.0), ("b", T0, T0 + h / 4, "g", 2.0), ("c", T0, T0 + 5 * h, "g", 4.0), ("d", T0, T0 + 30 * h, "h", 8.0)]
+    out = late_events.period_revisions(spark.createDataFrame(data, EVENTS), **EVENT, publish_us=3_600_000_000)
+    found = sorted((r["published_at"], r["group_key"], r["total_amount"], r["revision"]) for r in out.collect())
+    assert found == [(T0, "g", 3.0, 0), (T0 + 5 * h, "g", 7.0, 1), (T0 + 30 * h, "h", 8.0, 0)]
+
+
 def test_late_events_one_key_and_group_hold_most_rows(spark):
     r = random.Random(5)
     data = [("hot" if i % 3 == 0 else f"k{i}", T0 + timedelta(minutes=r.randint(0, 9000)), T0 + timedelta(minutes=r.randint(0, 20000)), "USD", 1.0) for i in range(3000)]

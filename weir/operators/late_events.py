@@ -83,13 +83,15 @@ class _Shard:
                 sealed = self.sealed.setdefault((g, s * self.slot // self.period), [0, 0])
                 sealed[0] += a
                 sealed[1] += n
+        for g in [g for g, tree in self.trees.items() if not len(tree)]:
+            del self.trees[g]
         done = horizon // self.period
         for state in (self.sealed, self.published):
             for k in [k for k in state if k[1] < done]:
                 del state[k]
 
 
-def _shards(lateness: int, period: int, slot: int):
+def _shards(lateness: int, period: int, slot: int, every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, tick = _Shard(lateness, period, slot), None
         for batch in batches:
@@ -97,9 +99,9 @@ def _shards(lateness: int, period: int, slot: int):
             arrival = np.asarray(batch.column(2).cast(pa.timestamp("us")).cast(pa.int64()))
             event = np.asarray(batch.column(3).cast(pa.timestamp("us")).cast(pa.int64()))
             keys, groups, amounts = batch.column(0), batch.column(1), batch.column(4)
-            ticks = arrival // period
+            ticks = arrival // every
             late = event < arrival - lateness  # left of the horizon as it stood when the row came
-            corrects = (event // period < ticks) & ~late
+            corrects = (event // period < arrival // period) & ~late
             for i in np.flatnonzero(late | corrects):
                 rows.append(("outcome", keys[i].as_py(), groups[i].as_py(), int(event[i] // period), int(ticks[i]), None, None, "cut_off" if late[i] else "corrects"))
             bounds = [0, *(np.flatnonzero(np.diff(ticks)) + 1).tolist(), len(ticks)]
@@ -126,13 +128,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
-def late_event_log(df: DataFrame, key: str, event: str, arrival: str, group: str, amount: str, lateness_hours: int = 72, period_us: int = DAY_US, slot_us: int = 60_000_000, scale: int = 2) -> DataFrame:
+def late_event_log(df: DataFrame, key: str, event: str, arrival: str, group: str, amount: str, lateness_hours: int = 72, period_us: int = DAY_US, slot_us: int = 60_000_000, scale: int = 2, publish_us: int | None = None) -> DataFrame:
     """The log of the trees: ``outcome`` rows for records that came after their period ended, and
     ``revision`` rows with the change that a publication (``tick``) makes to a (group, period).
 
     Every key counts once, by its first delivery. A record later than the lateness is ``cut_off`` and
     enters no aggregate; equality still counts. Amounts are exact: fixed point with ``scale`` places,
     null, not-a-number and what 38 digits can't hold as 0. ``period_us`` must be a multiple of ``slot_us``.
+    Publications follow each ``publish_us`` of arrival time, a period long if left out.
     """
     if period_us % slot_us:
         raise ValueError("period_us must be a multiple of slot_us")
@@ -148,7 +151,7 @@ def late_event_log(df: DataFrame, key: str, event: str, arrival: str, group: str
             (fixed * F.lit(10**scale)).try_cast("decimal(38,0)").alias("_v"),
         )
         .sortWithinPartitions("_a", "_e", "_k")
-        .mapInArrow(_shards(lateness_hours * 3_600_000_000, period_us, slot_us), _OUT)
+        .mapInArrow(_shards(lateness_hours * 3_600_000_000, period_us, slot_us, publish_us or period_us), _OUT)
     )
 
 
@@ -158,22 +161,27 @@ def late_outcomes(df: DataFrame, key: str, event: str, arrival: str, group: str,
     return log.where("kind = 'outcome'").select("record_key", _day("period").alias("event_day"), "outcome")
 
 
-def period_revisions(df: DataFrame, key: str, event: str, arrival: str, group: str, amount: str, lateness_hours: int = 72, scale: int = 2) -> DataFrame:
-    """What each publication day made of each (event day, group): the totals after it.
+def period_revisions(df: DataFrame, key: str, event: str, arrival: str, group: str, amount: str, lateness_hours: int = 72, scale: int = 2, publish_us: int = DAY_US) -> DataFrame:
+    """What each publication made of each (event day, group): the totals after it.
 
-    Ticks of one (group, period) are few: those within the lateness, or one for a clock set ahead.
+    Publications of one (group, period) are few: those within the lateness, or one for a clock set
+    ahead. ``published_day`` is the day of arrival; shorter intervals add ``published_at``, their start.
     """
-    log = late_event_log(df, key, event, arrival, group, amount, lateness_hours, scale=scale)
+    log = late_event_log(df, key, event, arrival, group, amount, lateness_hours, scale=scale, publish_us=publish_us)
     change = log.where("kind = 'revision'").groupBy("period", "grp", "tick").agg(F.sum("amount").alias("amount"), F.sum("n").alias("n"))
     so_far = Window.partitionBy("period", "grp").orderBy("tick")
-    return change.select(
+    out = change.withColumn("_at", F.col("tick") * F.lit(publish_us)).select(
+        "_at",
         _day("period").alias("event_day"),
         F.col("grp").alias("group_key"),
-        _day("tick").alias("published_day"),
+        F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("_at") / F.lit(DAY_US)).cast("int")).alias("published_day"),
         (F.sum("amount").over(so_far) / F.lit(10**scale)).cast("double").alias("total_amount"),
         F.sum("n").over(so_far).alias("record_count"),
         (F.row_number().over(so_far) - 1).alias("revision"),
     )
+    if publish_us % DAY_US:
+        out = out.withColumn("published_at", F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("_at") / F.lit(1e6)).cast("decimal(18,6)")))
+    return out.drop("_at")
 
 
 def _day(days_since_epoch: str):

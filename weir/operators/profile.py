@@ -117,7 +117,7 @@ def mask_profile(histogram: DataFrame, specs: DataFrame) -> DataFrame:
     low = F.col("min_value").isNotNull() & ~F.isnan("min_value") & (number < F.col("min_value"))
     high = F.col("max_value").isNotNull() & ~F.isnan("max_value") & (number > F.col("max_value"))
     return (
-        histogram.join(F.broadcast(specs), "column_name", "left")
+        histogram.join(specs, "column_name", "left")
         .groupBy("load_id", "column_name", "mask")
         .agg(
             F.sum("n").alias("n"),
