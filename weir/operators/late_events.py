@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.operators.finger_tree import FingerBTree
+from weir.sources.session import ensure_importable
 
 DAY_US = 86_400_000_000
 _OUT = "kind string, record_key string, grp string, period bigint, tick bigint, amount decimal(38,0), n bigint, outcome string"
@@ -141,6 +142,7 @@ def late_event_log(df: DataFrame, key: str, event: str, arrival: str, group: str
         raise ValueError("period_us must be a multiple of slot_us")
     value = F.col(amount).cast("double")
     fixed = F.when(~F.isnan(value), value).try_cast(f"decimal(38,{scale})")
+    ensure_importable(df.sparkSession)
     firsts = first_deliveries(df, key, event, arrival, [group, amount])
     return (
         firsts.select(

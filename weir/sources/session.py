@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,15 @@ def get_session(app: str = "weir", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def ensure_importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever their working
+    directory. Where that folder is not shared, the package must be installed or sent along."""
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    held = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in held:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, held)])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that ``checkpoint()`` writes to.
 
