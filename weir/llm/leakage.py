@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.sources.session import cut
+from weir.sources.session import cut, ensure_importable
 
 BLOCK_CHARS = 8_000_000
 MAX_ITEM_CHARS = 1_000_000
@@ -364,6 +364,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """
     kind = documents.schema[doc_id].dataType.simpleString()
     spark = documents.sparkSession
+    ensure_importable(spark)
     texts = documents.select(documents[doc_id].alias("_id"), documents[text].alias("_text"))
     found = None
     for block in _blocks(items, item_id, item_text):
