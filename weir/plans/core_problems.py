@@ -80,6 +80,16 @@ def p2_rare_masks(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def p2_rare_masks_all(spark: SparkSession, folder: str) -> DataFrame:
+    """``p2_rare_masks``, whose SQL covers three columns, over every column of both tables."""
+    found = []
+    for table in ("silver_orders", "metrics"):
+        df = read_table(spark, folder, table)
+        masks = profile.mask_histogram(df, F.col(LOAD[table]), [c for c in df.columns if c != LOAD[table]])
+        found.append(profile.rare_masks(masks).select(F.lit(table).alias("table_name"), "column_name", "load_id", "mask", "n", "value_count"))
+    return found[0].unionByName(found[1])
+
+
 PROBABILITIES, ACCURACY = [0.01, 0.25, 0.5, 0.75, 0.99], 0.01
 
 
@@ -139,4 +149,4 @@ def p5_records(spark: SparkSession, folder: str) -> DataFrame:
     return schema_fold.read_consistent(read_table(spark, folder, "raw_order_files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_revenue, p2_found, p2_profile, p2_mask_shift, p2_rare_masks, p3_daily, p3_overall, p4_found, p4_daily, p5_found, p5_records)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_revenue, p2_found, p2_profile, p2_mask_shift, p2_rare_masks, p2_rare_masks_all, p3_daily, p3_overall, p4_found, p4_daily, p5_found, p5_records)}
