@@ -59,6 +59,11 @@ def _number(df: DataFrame, column: str) -> Column:
     return F.lit(None).cast("double")
 
 
+def _numbered_cells(df: DataFrame, load: Column, columns: list[str]) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _text(df, c).alias("value"), _number(df, c).alias("number")) for c in columns])
+    return df.select(load.alias("load_id"), F.explode(cells).alias("_cell")).where(~is_blank(F.col("load_id"))).select("load_id", "_cell.column_name", "_cell.value", "_cell.number")
+
+
 def mask_histogram(df: DataFrame, load: Column, columns: list[str]) -> DataFrame:
     """(load_id, column_name, mask, n, distinct_estimate, min_number, max_number, min_length,
     max_length) for wide tables and columns of many values: only masks are grouped, values are
@@ -66,11 +71,9 @@ def mask_histogram(df: DataFrame, load: Column, columns: list[str]) -> DataFrame
     and combined where they are read. ``mask`` is null for rows without value; rows without load and
     empty tables give no rows.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _text(df, c).alias("value"), _number(df, c).alias("number")) for c in columns])
     return (
-        df.select(load.alias("load_id"), F.explode(cells).alias("_cell"))
-        .where(~is_blank(F.col("load_id")))
-        .select("load_id", "_cell.column_name", "_cell.value", "_cell.number", value_mask(F.col("_cell.value")).alias("mask"))
+        _numbered_cells(df, load, columns)
+        .withColumn("mask", value_mask(F.col("value")))
         .groupBy("load_id", "column_name", "mask")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -83,20 +86,49 @@ def mask_histogram(df: DataFrame, load: Column, columns: list[str]) -> DataFrame
     )
 
 
+def exact_mask_histogram(df: DataFrame, load: Column, columns: list[str]) -> DataFrame:
+    """``mask_histogram`` with exact ``distinct_values`` instead of the estimate, and with min_text and
+    max_text of values that are no numbers or times, in the order of their bytes.
+
+    Every stored value is grouped once and shuffled with its counts; masks are then rolled up from them.
+    """
+    return (
+        _numbered_cells(df, load, columns)
+        .groupBy("load_id", "column_name", "value")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("low"), F.max("number").alias("high"))
+        .withColumns({"mask": value_mask(F.col("value")), "text": F.when(F.col("low").isNull(), F.col("value"))})
+        .groupBy("load_id", "column_name", "mask")
+        .agg(
+            F.sum("n").alias("n"),
+            F.count("value").alias("distinct_values"),
+            F.min("low").alias("min_number"),
+            F.max("high").alias("max_number"),
+            F.min(F.length("value")).alias("min_length"),
+            F.max(F.length("value")).alias("max_length"),
+            F.min("text").alias("min_text"),
+            F.max("text").alias("max_text"),
+        )
+    )
+
+
 def table_profile(masks: DataFrame) -> DataFrame:
-    """``mask_histogram`` rolled up to (load_id, column_name); the dominant mask is the most frequent,
-    ties by the greater mask."""
+    """``mask_histogram`` or ``exact_mask_histogram`` rolled up to (load_id, column_name); the dominant
+    mask is the most frequent, ties by the greater mask."""
     valued = F.col("mask").isNotNull()
+    exact = "distinct_values" in masks.columns
+    distinct = "distinct_values" if exact else "distinct_estimate"
+    texts = [F.min("min_text").alias("min_text"), F.max("max_text").alias("max_text")] if exact else []
     return (
         masks.groupBy("load_id", "column_name")
         .agg(
             F.sum("n").alias("row_count"),
             F.sum(F.when(~valued, F.col("n")).otherwise(0)).alias("null_count"),
-            F.sum(F.when(valued, F.col("distinct_estimate")).otherwise(0)).alias("distinct_estimate"),
+            F.sum(F.when(valued, F.col(distinct)).otherwise(0)).alias(distinct),
             F.min("min_number").alias("min_number"),
             F.max("max_number").alias("max_number"),
             F.min("min_length").alias("min_length"),
             F.max("max_length").alias("max_length"),
+            *texts,
             F.count("mask").alias("mask_count"),
             F.max(F.when(valued, F.struct("n", "mask"))).alias("_top"),
         )

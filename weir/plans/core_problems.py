@@ -55,7 +55,7 @@ def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
     found = []
     for table in ("silver_orders", "metrics"):
         df = read_table(spark, folder, table)
-        masks = profile.mask_histogram(df, F.col(LOAD[table]), [c for c in df.columns if c != LOAD[table]])
+        masks = profile.exact_mask_histogram(df, F.col(LOAD[table]), [c for c in df.columns if c != LOAD[table]])
         found.append(profile.table_profile(masks).withColumn("table_name", F.lit(table)))
     return found[0].unionByName(found[1])
 
