@@ -47,7 +47,8 @@ _THAI = re.compile("(?<=[ก-๎])[  ]+(?=[ก-๎])")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _LINE = r"\n(?![^\S\n]*\n)"
 _QUOTED = re.compile("|".join(f"{a}(?:[^{b}\n]|{_LINE})*[{c}]" for a, b, c in (("„", "„“”", "“”"), ("“", "“”", "”"), ("«", "«»", "»"), ("「", "「」", "」"), ("『", "『』", "』"), ('"', '"', '"'))))
-_BRACKETED = re.compile(rf"\((?:[^()\n]|{_LINE}){{0,240}}\)|（[^（）\n]{{0,240}}）|\[[^\[\]\n]{{0,240}}\]")
+_BRACKET = re.compile(r"[()（）\[\]]|\n[^\S\n]*\n")
+_CLOSED_BY = {")": "(", "）": "（", "]": "["}
 _LIST_LABEL = re.compile(r"[\s(][a-z]\)$")
 _WORD_BEFORE = re.compile(r"[^\s(（\[“”„«»\"「」]*$")
 _WORD_AFTER = re.compile(r"[^\s.,;:!?]+")
@@ -68,16 +69,36 @@ def _inside(starts: list[int], ends: list[int], at: int) -> int:
     return ends[i] if i >= 0 and at < ends[i] else 0
 
 
-def _pairs(pattern: re.Pattern, text: str) -> tuple[list[int], list[int]]:
+def _quoted(text: str) -> tuple[list[int], list[int]]:
     starts, ends = [], []
-    for m in pattern.finditer(text):
-        if text[m.end() - 1] == ")" and _LIST_LABEL.search(text, m.start() + 1, m.end()) and m.end() - m.start() > 4:
-            continue
+    for m in _QUOTED.finditer(text):
         starts.append(m.start())
         ends.append(m.end())
     return starts, ends
 
 
+def _bracketed(text: str) -> tuple[list[int], list[int]]:
+    """The outermost brackets of any length, each kind by itself; none goes on over a blank line. The
+    bracket of a list's label, as in "b)", takes the one it would close with it and encloses nothing."""
+    open_at: dict[str, list[int]] = {"(": [], "（": [], "[": []}
+    spans: list[tuple[int, int]] = []
+    for m in _BRACKET.finditer(text):
+        c = m[0]
+        if c in open_at:
+            open_at[c].append(m.start())
+        elif c not in _CLOSED_BY:
+            for held in open_at.values():
+                held.clear()
+        elif open_at[_CLOSED_BY[c]]:
+            start, end = open_at[_CLOSED_BY[c]].pop(), m.end()
+            if c == ")" and end - start > 4 and _LIST_LABEL.search(text, max(start + 1, end - 3), end):
+                continue
+            while spans and spans[-1][1] > start:  # inside, or crossing with another kind
+                start = min(start, spans.pop()[0])
+            spans.append((start, end))
+    return [x for x, _ in spans], [x for _, x in spans]
+
+
 def _opening(text: str, at: int, latin: bool = False, peek: bool = True) -> float:
     """How much the text at ``at`` looks like the start of a sentence. A stray word of another script
     or in small letters (machine translation leaves them) is looked past: the next word may open one.
@@ -223,8 +244,8 @@ def sentence_ends(text: str) -> list[int]:
     if not size:
         return []
     blanks = [(m.start(), m.end()) for m in _BLANK.finditer(text, 0, size)]
-    q_starts, q_ends = _pairs(_QUOTED, text)
-    b_starts, b_ends = _pairs(_BRACKETED, text)
+    q_starts, q_ends = _quoted(text)
+    b_starts, b_ends = _bracketed(text)
     marks: list[tuple[int, int, str]] = [(m.start(), m.end(), m[0]) for m in _MARKS.finditer(text, 0, size)]
     if not text.isascii() and _THAI.search(text):
         marks += [(m.start(), m.start(), "") for m in _THAI.finditer(text, 0, size)]
