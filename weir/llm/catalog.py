@@ -19,7 +19,7 @@ def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     documents, targets = _mix(spark, folder)
-    return mixing.shortfalls(mixing.demand(targets, mixing.supply(documents, "source", mixing.utf8_tokens(F.col("text")))))
+    return mixing.placed_shortfalls(documents, targets, "doc_id", "source", mixing.utf8_tokens(F.col("text")))
 
 
 def p7_plan(spark: SparkSession, folder: str) -> DataFrame:
