@@ -37,7 +37,8 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Every copy of every mix with its training position, in order."""
     documents, targets = _mix(spark, folder)
     drift = F.when(F.col("share_permille") < 100, F.lit(DRIFT)).otherwise(F.lit(-DRIFT) * F.col("share_permille") / 1000)
-    return mixing.curriculum(documents, targets, "doc_id", "source", mixing.utf8_tokens(F.col("text")), drift)
+    mix = mixing.curriculum(documents, targets, "doc_id", "source", mixing.utf8_tokens(F.col("text")), drift)
+    return mix.withColumn("position", F.round("position", 9))
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,7 +63,27 @@ plan AS (
   FROM mix_targets t LEFT JOIN supply s ON s.source = lower(trim(t.source))
 )"""
 
+_MIX = f"""{_SUPPLY},
+axis AS (
+  SELECT source, doc_id, tokens, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, {mixing.BUCKET_DIGITS}), doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
+  FROM (SELECT lower(trim(source)) AS source, doc_id, coalesce(strlen(text), 0) AS tokens FROM documents WHERE source IS NOT NULL)
+),
+taken AS (
+  SELECT p.mix_id, p.source, a.doc_id, a.tokens, CAST(a.begin AS DOUBLE) AS begin, CAST(p.tokens AS DOUBLE) AS supply, CAST(p.wanted_x AS DOUBLE) / 100000 AS wanted, least(CAST(p.wanted_x AS DOUBLE), CAST(p.ceiling_x AS DOUBLE)) / 100000 AS given,
+    p.max_repeats, CASE WHEN p.share_permille < 100 THEN {DRIFT} ELSE -{DRIFT} * p.share_permille / 1000 END::DOUBLE AS d
+  FROM plan p JOIN axis a USING (source) WHERE p.tokens > 0
+),
+copies AS (SELECT *, unnest(range(1, CAST(least(max_repeats, ceil((given - begin) / supply)) AS BIGINT) + 1)) AS copy_no FROM taken WHERE given > begin),
+placed AS (SELECT *, least(1.0::DOUBLE, (begin + (copy_no - 1) * supply + tokens / 2.0::DOUBLE) / wanted) AS m FROM copies),
+mix AS (SELECT mix_id, source, doc_id, copy_no, tokens, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (sqrt((1 - d) * (1 - d) + 4 * d * m) - (1 - d)) / (2 * d))) AS position FROM placed)"""
+
 ORACLES = {
+    "p7_mix": f"WITH {_MIX} SELECT mix_id, source, doc_id, copy_no, tokens, round(position, 9) AS position FROM mix",
+    "p7_shares": f"""WITH {_MIX},
+reached AS (SELECT mix_id, source, CAST(sum(tokens) AS BIGINT) AS taken_tokens, count(*) AS taken_copies, max(copy_no) AS repeats FROM mix GROUP BY 1, 2)
+SELECT p.mix_id, p.source, p.share_permille, coalesce(taken_tokens, 0) AS taken_tokens, coalesce(taken_copies, 0) AS taken_copies, coalesce(repeats, 0) AS repeats,
+  round(1000 * coalesce(taken_tokens, 0) / sum(coalesce(taken_tokens, 0)) OVER (PARTITION BY p.mix_id), 3) AS reached_permille
+FROM plan p LEFT JOIN reached r USING (mix_id, source)""",
     "p7_found": f"WITH {_SUPPLY} SELECT mix_id, source FROM plan WHERE ceiling_x < wanted_x",
     "p7_plan": f"WITH {_SUPPLY} SELECT mix_id, source, CAST(tokens AS BIGINT) AS supply_tokens, round(least(CAST(wanted_x AS DOUBLE), CAST(ceiling_x AS DOUBLE)) / 100000, 3) AS given_tokens FROM plan",
 }
