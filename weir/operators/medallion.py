@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.model import Duplicates
-from weir.operators.quantile_sketch import bucket_index
+from weir.operators.ordering import global_rank
 from weir.operators.rules import deduplicate
 from weir.schemas import schema
 
@@ -124,21 +124,6 @@ def gold_daily_revenue(orders: DataFrame, at: datetime | None = None) -> DataFra
     )
 
 
-def global_rank(df: DataFrame, by: str, tie: str, name: str, accuracy: float = 0.005) -> DataFrame:
-    """Adds the 1-based rank by ``by`` descending (not-a-number first, nulls last), ties by ``tie`` ascending, without putting all rows into one task: rows are ranked
-    within buckets of like values, and a bucket starts where the greater ones end."""
-    value = F.col(by).cast("double")
-    plain = F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
-    place = F.when(value.isNull(), F.lit(-(10**9))).when(plain.isNull(), F.when(value < 0, F.lit(-(10**8))).otherwise(F.lit(10**8))).otherwise(F.signum(plain) * (bucket_index(plain, accuracy) + 10**6))
-    marked = df.withColumn("_bucket", place.cast("long"))
-    sizes = marked.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    # one row per bucket, some tens of thousands at most
-    before = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_bucket").orderBy(F.desc_nulls_last(by), F.asc_nulls_first(tie))
-    return marked.withColumn("_rn", F.row_number().over(within)).join(starts, "_bucket").withColumn(name, (F.col("_start") + F.col("_rn")).cast("int")).drop("_bucket", "_rn", "_start")
-
-
 def gold_product_performance(orders: DataFrame, names: DataFrame | None = None, at: datetime | None = None) -> DataFrame:
     """One row per product with its rank by revenue (ties by id). ``names`` (product_id, product_name)
     fills the names."""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, DoubleType, FloatType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
 
 from weir.model import AcceptedValues, CheckResult, DistributionAnomaly, Duplicates, Freshness, NotNull, PositiveNumeric, ReferentialIntegrity, RowCountAnomaly, Rule, SchemaDrift, UniqueKey
-from weir.operators.quantile_sketch import exact_quantiles
+from weir.operators.ordering import exact_quantiles
 
 SAMPLE = 20
 #: Accepted values beyond this number are joined instead of listed in the plan.

@@ -47,26 +47,6 @@ divergence AS (
 )"""
 
 
-def _quantiles(groups: str) -> str:
-    # The sketch's definition again: buckets of ratio 1.01 / 0.99, rank ceil(p * n).
-    return f"""
-WITH vals AS (
-  SELECT 'unit_price' AS measure, currency, CAST(order_timestamp AS DATE) AS order_day, unit_price AS v FROM silver_orders
-  UNION ALL SELECT 'quantity', currency, CAST(order_timestamp AS DATE), CAST(quantity AS DOUBLE) FROM silver_orders
-),
-sketch AS (
-  SELECT measure, {groups}, sign(v) AS s, CASE WHEN v = 0 THEN 0 ELSE ceil(ln(abs(v)) / ln(1.01 / 0.99)) END AS b, count(*) AS n
-  FROM vals WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) GROUP BY ALL
-),
-ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY measure, {groups} ORDER BY s, s * b ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY measure, {groups}) AS total FROM sketch
-),
-wanted AS (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.99]::DOUBLE[]) AS probability)
-SELECT measure, {groups}, probability, round(CASE WHEN s = 0 THEN 0 ELSE s * 2.0 * pow(1.01 / 0.99, b) / (1.01 / 0.99 + 1) END, 6) AS estimate, CAST(total AS BIGINT) AS value_count
-FROM ranked, wanted
-WHERE greatest(1, ceil(probability * total)) <= upto AND greatest(1, ceil(probability * total)) > upto - n"""
-
-
 _ORPHANS = """
 history AS (SELECT DISTINCT ref_table, key_value, change_kind, changed_at FROM key_history),
 refs AS (
@@ -115,8 +95,6 @@ UNION ALL SELECT table_name, column_name, load_id, 'distinct' FROM paired WHERE
 UNION ALL SELECT table_name, column_name, load_id, 'shift' FROM paired WHERE column_name IN ('rule_name', 'dataset_name') AND d > 0.5""",
     "p2_rare_masks": f"""WITH {_CELLS}, masks AS (SELECT table_name, column_name, load_id, {_MASK} AS mask, count(*) AS n FROM valued WHERE v IS NOT NULL AND column_name NOT IN ('quantity', 'unit_price') GROUP BY ALL)
 SELECT * FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY table_name, column_name, load_id) AS BIGINT) AS value_count FROM masks) WHERE n / value_count < 0.05""",
-    "p3_daily": _quantiles("currency, order_day"),
-    "p3_overall": _quantiles("currency"),
     "p4_found": f"WITH {_ORPHANS} SELECT DISTINCT order_id, field_name, key_state FROM judged WHERE key_state IS NOT NULL",
     "p4_daily": f"WITH {_ORPHANS} SELECT ref_table, order_day, key_state, count(*) AS reference_count FROM judged WHERE key_state IS NOT NULL GROUP BY ALL",
 }

@@ -1,4 +1,4 @@
-"""Queries of the data-processing problems 1 to 5, over whole tables."""
+"""Queries of the data-processing problems 1, 2, 4 and 5, over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.functions.blank import is_blank
-from weir.operators import late_events, orphans, profile, quantile_sketch, schema_fold
+from weir.operators import late_events, orphans, profile, schema_fold
 from weir.sources.session import cut
 from weir.sources.tables import read_table
 
@@ -90,30 +90,6 @@ def p2_rare_masks_all(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-PROBABILITIES, ACCURACY = [0.01, 0.25, 0.5, 0.75, 0.99], 0.01
-
-
-def _daily_sketches(spark: SparkSession, folder: str) -> DataFrame:
-    orders = read_table(spark, folder, "silver_orders")
-    parts = [
-        quantile_sketch.sketch(orders.select("currency", F.to_date("order_timestamp").alias("order_day"), column), column, ["currency", "order_day"], ACCURACY).withColumn("measure", F.lit(column))
-        for column in ("unit_price", "quantity")
-    ]
-    return parts[0].unionByName(parts[1])
-
-
-def p3_daily(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of unit_price and quantity per currency and order day."""
-    found = quantile_sketch.quantiles(_daily_sketches(spark, folder), ["measure", "currency", "order_day"], PROBABILITIES, ACCURACY)
-    return found.withColumn("estimate", F.round("estimate", 6))
-
-
-def p3_overall(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles per currency, from the sketches of the days."""
-    merged = quantile_sketch.merge(_daily_sketches(spark, folder), ["measure", "currency"])
-    return quantile_sketch.quantiles(merged, ["measure", "currency"], PROBABILITIES, ACCURACY).withColumn("estimate", F.round("estimate", 6))
-
-
 # The table that each reference of silver_orders points to.
 REFERS = {"customer_id": "silver_customers", "product_id": "silver_products"}
 
@@ -149,4 +125,4 @@ def p5_records(spark: SparkSession, folder: str) -> DataFrame:
     return schema_fold.read_consistent(read_table(spark, folder, "raw_order_files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_revenue, p2_found, p2_profile, p2_mask_shift, p2_rare_masks, p2_rare_masks_all, p3_daily, p3_overall, p4_found, p4_daily, p5_found, p5_records)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_revenue, p2_found, p2_profile, p2_mask_shift, p2_rare_masks, p2_rare_masks_all, p4_found, p4_daily, p5_found, p5_records)}
