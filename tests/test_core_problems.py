@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import brute
 import duckdb
+import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,26 +97,77 @@ def test_late_events_one_key_and_group_hold_most_rows(spark):
     assert final == want
 
 
-def test_profile_issues(spark):
+SPECS = "column_name string, value_pattern string, min_value double, max_value double"
+
+
+def issues(df, specs, order, distinct, shift, columns):
+    declared = specs.collect()
+    masks = profile.mask_counts(df, F.col("load"), columns, declared)
+    return {tuple(r) for r in profile.load_issues(masks, profile.value_histogram(df, F.col("load"), columns), declared, order, distinct, shift).collect()}
+
+
+def order_of(df):
+    return profile.load_order(df.where("trim(load) <> ''").select(F.col("load").alias("load_id"), F.lit("s").alias("stream")).distinct(), "stream", ["load_id"])
+
+
+@pytest.fixture(scope="module")
+def two_loads(spark):
     good = [("f/load_1", f"CUST-{i:07d}", "x") for i in range(50)]
     bad = [("f/load_2", None if i < 15 else "" if i < 20 else f"cust{i % 3}", "y") for i in range(50)]
     df = spark.createDataFrame([*good, *bad, (None, "zz", "q"), (" ", "zz", "q")], "load string, customer_id string, rule_name string").withColumn("n", F.lit(5)).withColumn("mask", F.lit("m"))
-    specs = spark.createDataFrame([("customer_id", "CUST-[0-9]{7}", None, None)], "column_name string, value_pattern string, min_value double, max_value double")
-    order = profile.load_order(df.where("trim(load) <> ''").select(F.col("load").alias("load_id"), F.lit("s").alias("stream")).distinct(), "stream", ["load_id"])
-    h = profile.value_histogram(df, F.col("load"), ["customer_id", "rule_name"])
-    found = {tuple(r) for r in profile.load_issues(h, specs, order, ["customer_id"], ["rule_name"]).collect()}
+    return df, spark.createDataFrame([("customer_id", "CUST-[0-9]{7}", None, None)], SPECS)
+
+
+def test_profile_issues(two_loads):
+    df, specs = two_loads
+    found = issues(df, specs, order_of(df), ["customer_id"], ["rule_name"], ["customer_id", "rule_name"])
     assert found == {("customer_id", "f/load_2", "nulls"), ("customer_id", "f/load_2", "pattern"), ("customer_id", "f/load_2", "distinct"), ("rule_name", "f/load_2", "shift")}
-    assert profile.value_histogram(df.limit(0), F.col("load"), ["customer_id"]).count() == 0
-    top = {r["load_id"]: r["dominant_mask"] for r in profile.column_profile(profile.mask_profile(h, specs)).where("column_name = 'customer_id'").collect()}
-    assert top == {"f/load_1": "A-9999999", "f/load_2": "a9"} or top == {"f/load_1": "A-9999999", "f/load_2": "a99"}
+    assert issues(df.limit(0), specs, order_of(df), ["customer_id"], ["rule_name"], ["customer_id", "rule_name"]) == set()
+    profiled = profile.column_profile(profile.mask_counts(df, F.col("load"), ["customer_id"], []), [])
+    assert {r["load_id"]: r["dominant_mask"] for r in profiled.collect()} == {"f/load_1": "A-9999999", "f/load_2": "a9"}
+
+
+def test_masks_decide(two_loads, monkeypatch):
+    """With masks that tell nothing apart, no value is off the pattern."""
+    df, specs = two_loads
+    monkeypatch.setattr(profile, "pattern_mask", lambda text, pattern: F.when(text.isNotNull(), F.lit("CUST-0000000")))
+    found = issues(df, specs, order_of(df), ["customer_id"], ["rule_name"], ["customer_id", "rule_name"])
+    assert ("customer_id", "f/load_2", "pattern") not in found and ("customer_id", "f/load_2", "nulls") in found
+
+
+def test_values_settle_what_masks_do_not_show(spark):
+    """Values move within one mask; and masks that moved need no look at values."""
+    data = [("l1", "aa", "aa")] * 10 + [("l2", "bb", "9")] * 10
+    df = spark.createDataFrame(data, "load string, c string, d string")
+    assert issues(df, spark.createDataFrame([], SPECS), order_of(df), [], ["c", "d"], ["c", "d"]) == {("c", "l2", "shift"), ("d", "l2", "shift")}
+    masks = profile.mask_counts(df, F.col("load"), ["c", "d"], [])
+    empty = profile.value_histogram(df.limit(0), F.col("load"), ["c", "d"])
+    totals = profile.column_profile(masks, [])
+    assert [tuple(r) for r in profile.shifted(masks, empty, totals, order_of(df), 0.5).collect()] == [("l2", "d")]
 
 
 def test_shares_at_the_bound_are_no_issue(spark):
     df = spark.createDataFrame([("l", None if i < 4 else "a") for i in range(20)], "load string, c string")
-    specs = spark.createDataFrame([("c", "b", None, None)], "column_name string, value_pattern string, min_value double, max_value double")
-    order = profile.load_order(df.select(F.col("load").alias("load_id"), F.lit("s").alias("stream")).distinct(), "stream", ["load_id"])
-    found = {r["issue"] for r in profile.load_issues(profile.value_histogram(df, F.col("load"), ["c"]), specs, order, [], []).collect()}
-    assert found == {"pattern"}
+    specs = spark.createDataFrame([("c", "b", None, None)], SPECS)
+    assert {x[2] for x in issues(df, specs, order_of(df), [], [], ["c"])} == {"pattern"}
+
+
+def test_half_of_odd_shares_is_no_shift(spark):
+    """Shares of 3, 7 and 49 rows whose differences add up to one half, no more."""
+    for n in (3, 7, 49):
+        data = [("l1", f"v{i}") for i in range(n) for _ in range(2)] + [("l2", f"v{i}" if i < n else f"w{i}") for i in range(2 * n)]
+        df = spark.createDataFrame(data, "load string, c string")
+        assert issues(df, spark.createDataFrame([], SPECS), order_of(df), [], ["c"], ["c"]) == set()
+
+
+@pytest.mark.parametrize("pattern", ["^CUST-[0-9]{7}$", "^[a-z]+(_[a-z]+)+$", r"\w+[.]\\d*", "[^0-9]*", "(a|bc)+x?", r"(.)\\1", "(?i)abc", r"\p{L}+ \\$", ".*", "a$", "é+"])
+def test_a_mask_matches_its_pattern_as_its_values_do(spark, pattern):
+    r = random.Random(1)
+    pieces = ["CUST-", "cust", "1234567", "7", "_", "ab", "bc", "x", ".", "\n", "\r\n", "é", "字", "😀", " ", "$", "\\", "A", "\u2028"]
+    values = [("".join(r.choice(pieces) for _ in range(r.randint(1, 4))),) for _ in range(400)] + [("CUST-1234567",), ("silver_orders_x",), ("aa",), ("",)]
+    whole = F.lit(rf"\A(?:{pattern})\z")
+    df = spark.createDataFrame(values, "v string").select("v", F.regexp_like("v", whole).alias("own"), F.regexp_like(profile.pattern_mask(F.col("v"), pattern), whole).alias("mask"))
+    assert df.where("own <> mask").count() == 0
 
 
 def test_table_profile(spark):

@@ -1,20 +1,26 @@
 """Column profiles by load, from character-class masks.
 
-The histogram (load, column, mask, value) -> count is the one pass over the rows: it combines before
-its only wide shuffle, so a load or value that holds a third of all rows is a few rows per task.
-Everything else is rolled up from it by mask, then by column. The load before is found on the list of
-loads (one row per load); its values reach the next load as negative shares in a union, so comparing
-two loads is one more aggregation and no join of values.
+Cells combine to (load, column, mask) -> count where they are read, so a load or value that holds a
+third of all rows is a few rows per task. Null shares, violations of a declared pattern and moves of
+masks between loads are read from these counts: under a declared pattern a mask matches it if and only
+if its values do (``pattern_mask``), so the pattern is tried once per mask. Only what is defined on
+values (distinct counts, shifts too small to show in masks) is counted by value, for the columns that
+ask for it. The load before is found on the list of loads; its counts reach the next load through a
+union, so comparing two loads is an aggregation and no join of masks or values.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from decimal import Decimal
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, FloatType, NumericType, TimestampNTZType, TimestampType
 
 from weir.functions.blank import is_blank
-from weir.functions.masks import value_mask
+from weir.functions.masks import pattern_mask, value_mask
 from weir.operators.rules import as_utc
 from weir.sources.session import cut
 
@@ -137,38 +143,51 @@ def table_profile(masks: DataFrame) -> DataFrame:
     )
 
 
-def mask_profile(histogram: DataFrame, specs: DataFrame) -> DataFrame:
-    """Per (load_id, column_name, mask): rows, distinct values, rows off the declared pattern, rows
-    out of the declared range. ``specs`` has column_name, value_pattern, min_value, max_value.
+def _bound(spec: Any, name: str) -> float | None:
+    value = spec[name]
+    return None if value is None or value != value else float(value)
+
+
+def mask_counts(df: DataFrame, load: Column, columns: list[str], specs: Iterable[Any]) -> DataFrame:
+    """(load_id, column_name, mask, n, out_of_range), the masks being those of the declared patterns.
 
-    A mask only groups; each distinct value is then checked exactly. A missing pattern or bound
-    checks nothing; a value that is no number is not in question for the range.
+    ``specs`` holds a row per declared column: column_name, value_pattern, min_value, max_value. A
+    missing bound checks nothing; a value that is no number is not in question for the range. ``mask``
+    is null for rows without value; rows without load do not count; an empty table gives no rows.
     """
-    number = F.col("value").try_cast("double")
-    off = F.col("value_pattern").isNotNull() & F.col("value").isNotNull() & ~F.regexp_like(F.col("value"), F.concat(F.lit("\\A(?:"), F.col("value_pattern"), F.lit(")\\z")))
-    low = F.col("min_value").isNotNull() & ~F.isnan("min_value") & (number < F.col("min_value"))
-    high = F.col("max_value").isNotNull() & ~F.isnan("max_value") & (number > F.col("max_value"))
+    declared = {r["column_name"]: r for r in specs}
+    cells = []
+    for c in columns:
+        text, spec = _text(df, c), declared.get(c)
+        number = text.try_cast("double")
+        off = F.lit(False)
+        if spec is not None:
+            low, high = _bound(spec, "min_value"), _bound(spec, "max_value")
+            off = (number < F.lit(low) if low is not None else off) | (number > F.lit(high) if high is not None else off)
+        mask = pattern_mask(text, spec["value_pattern"] if spec is not None else None)
+        cells.append(F.struct(F.lit(c).alias("column_name"), mask.alias("mask"), F.coalesce(off, F.lit(False)).alias("off")))
     return (
-        histogram.join(specs, "column_name", "left")
-        .groupBy("load_id", "column_name", "mask")
-        .agg(
-            F.sum("n").alias("n"),
-            F.count("value").alias("distinct_values"),
-            F.sum(F.when(off, F.col("n")).otherwise(0)).alias("off_pattern"),
-            F.sum(F.when(low | high, F.col("n")).otherwise(0)).alias("out_of_range"),
-        )
+        df.select(load.alias("load_id"), F.explode(F.array(*cells)).alias("_c"))
+        .where(~is_blank(F.col("load_id")))
+        .groupBy("load_id", "_c.column_name", "_c.mask")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("_c.off").alias("out_of_range"))
     )
 
 
-def column_profile(masks: DataFrame) -> DataFrame:
-    """The mask profile rolled up to (load_id, column_name), with the dominant mask."""
-    valued = F.col("mask").isNotNull()
+def column_profile(masks: DataFrame, specs: Iterable[Any]) -> DataFrame:
+    """``mask_counts`` rolled up to (load_id, column_name): rows, rows without value, values, values off
+    the pattern and out of range, masks, and the dominant mask (ties by the greater)."""
+    valued, off = F.col("mask").isNotNull(), F.lit(False)
+    for spec in specs:
+        if spec["value_pattern"]:
+            whole = F.regexp_like("mask", F.lit(f"\\A(?:{spec['value_pattern']})\\z"))
+            off = F.when(F.col("column_name") == spec["column_name"], ~whole).otherwise(off)
+    zero = F.lit(0).cast("bigint")
     return masks.groupBy("load_id", "column_name").agg(
         F.sum("n").alias("row_count"),
-        F.sum(F.when(~valued, F.col("n")).otherwise(0)).alias("null_count"),
-        F.sum(F.when(valued, F.col("n")).otherwise(0)).alias("value_count"),
-        F.sum("distinct_values").alias("distinct_values"),
-        F.sum("off_pattern").alias("off_pattern"),
+        F.sum(F.when(valued, zero).otherwise(F.col("n"))).alias("null_count"),
+        F.sum(F.when(valued, F.col("n")).otherwise(zero)).alias("value_count"),
+        F.sum(F.when(valued & off, F.col("n")).otherwise(zero)).alias("off_pattern"),
         F.sum("out_of_range").alias("out_of_range"),
         F.count("mask").alias("mask_count"),
         F.max(F.when(valued, F.struct("n", "mask"))).alias("_top"),
@@ -181,30 +200,31 @@ def load_order(loads: DataFrame, stream: str, order: list[str]) -> DataFrame:
     return loads.select("load_id", F.lead("load_id").over(w).alias("next_load"), F.lag("load_id").over(w).alias("load_before"))
 
 
-def divergence(histogram: DataFrame, totals: DataFrame, order: DataFrame, by: str) -> DataFrame:
+def divergence(histogram: DataFrame, totals: DataFrame, order: DataFrame, by: str, only: DataFrame | None = None) -> DataFrame:
     """Half the sum of absolute differences of shares between a load and the one before.
 
     ``by`` is ``value`` or ``mask``. ``totals`` has (load_id, column_name, value_count). Only loads
-    that both hold values are compared; the result has (load_id, column_name, divergence).
+    that both hold values are compared, and only the (load_id, column_name) in ``only`` if it is given.
+    The result has (load_id, column_name, gap, whole, divergence); the first two are whole numbers, and
+    divergence is gap / whole / 2: shares are compared over their common denominator.
     """
-    share = (
-        histogram.where(F.col(by).isNotNull())
-        .groupBy("load_id", "column_name", by)
-        .agg(F.sum("n").alias("n"))
-        .join(totals.select("load_id", "column_name", "value_count").where("value_count > 0"), ["load_id", "column_name"])
-        .join(order.select("load_id", "next_load"), "load_id", "left")
-        .withColumn("share", F.col("n") / F.col("value_count"))
-    )
-    own = share.select("load_id", "column_name", by, "share", F.lit(0.0).alias("before"))
-    passed_on = share.where("next_load is not null").select(F.col("next_load").alias("load_id"), "column_name", by, F.lit(0.0).alias("share"), F.col("share").alias("before"))
+    counts = histogram.where(F.col(by).isNotNull()).groupBy("load_id", "column_name", by).agg(F.sum("n").alias("n"))
+    linked = order.select("load_id", "next_load")
+    own = counts.select("load_id", "column_name", by, "n", F.lit(0).cast("bigint").alias("before"))
+    passed_on = counts.join(linked.where("next_load is not null"), "load_id").select(F.col("next_load").alias("load_id"), "column_name", by, F.lit(0).cast("bigint").alias("n"), F.col("n").alias("before"))
+    held = totals.where("value_count > 0").select("load_id", "column_name", F.col("value_count").cast("decimal(19,0)").alias("_now"))
+    both = held.join(held.join(linked, "load_id").select(F.col("next_load").alias("load_id"), "column_name", F.col("_now").alias("_before")), ["load_id", "column_name"])
+    if only is not None:
+        both = both.join(only.select("load_id", "column_name"), ["load_id", "column_name"], "left_semi")
+    gap = F.abs(F.col("n").cast("decimal(18,0)") * F.col("_before") - F.col("before").cast("decimal(18,0)") * F.col("_now"))
     return (
         own.unionByName(passed_on)
         .groupBy("load_id", "column_name", by)
-        .agg(F.sum("share").alias("share"), F.sum("before").alias("before"))
+        .agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
+        .join(both, ["load_id", "column_name"])
         .groupBy("load_id", "column_name")
-        .agg((F.sum(F.abs(F.col("share") - F.col("before"))) / 2).alias("divergence"), F.sum("share").alias("_now"), F.sum("before").alias("_before"))
-        .where("_now > 0 and _before > 0")
-        .select("load_id", "column_name", "divergence")
+        .agg(F.sum(gap).cast("decimal(38,0)").alias("gap"), F.first((F.col("_now") * F.col("_before")).cast("decimal(38,0)")).alias("whole"))
+        .withColumn("divergence", F.col("gap").cast("double") / F.col("whole").cast("double") / 2)
     )
 
 
@@ -214,22 +234,42 @@ def rare_masks(masks: DataFrame, least_share: float = 0.05) -> DataFrame:
     return masks.where("mask is not null").withColumn("value_count", F.sum("n").over(w)).where(F.col("n") / F.col("value_count") < F.lit(least_share))
 
 
-def load_issues(histogram: DataFrame, specs: DataFrame, order: DataFrame, distinct_columns: list[str], shift_columns: list[str], null_share: float = 0.2, pattern_share: float = 0.05, range_share: float = 0.05, shift: float = 0.5) -> DataFrame:
-    """(column_name, load_id, issue) of every load that breaks a bound; see TESTDATA.md, p2."""
-    # read three times below; it holds a row per load and column
-    profile = cut(column_profile(mask_profile(histogram, specs))).select("load_id", "column_name", "row_count", "null_count", "value_count", "distinct_values", "off_pattern", "out_of_range")
-    before = profile.join(order.where("next_load is not null").select("load_id", "next_load"), "load_id").select(
-        F.col("next_load").alias("load_id"), "column_name", F.col("distinct_values").alias("distinct_before")
-    )
-    moved = divergence(histogram.where(F.col("column_name").isin(shift_columns)), profile, order, "value")
-    wide = profile.join(before, ["load_id", "column_name"], "left").join(moved, ["load_id", "column_name"], "left")
-    both = (F.col("distinct_values") > 0) & (F.col("distinct_before") > 0)
-    distinct = F.col("column_name").isin(distinct_columns) & both & ((F.col("distinct_values") * 2 < F.col("distinct_before")) | (F.col("distinct_values") > F.col("distinct_before") * 2))
-    issues = F.array(
-        F.when(F.col("null_count") / F.col("row_count") > F.lit(null_share), F.lit("nulls")),
-        F.when(F.try_divide("off_pattern", "value_count") > F.lit(pattern_share), F.lit("pattern")),
-        F.when(F.try_divide("out_of_range", "value_count") > F.lit(range_share), F.lit("range")),
-        F.when(distinct, F.lit("distinct")),
-        F.when(F.col("divergence") > F.lit(shift), F.lit("shift")),
+def over_share(part: str, whole: str, share: float) -> Column:
+    """Whether ``part`` is more than ``share`` of ``whole``, in whole numbers; false without a whole."""
+    exact = Decimal(str(share))
+    return F.col(part).cast("decimal(20,0)") > F.col(whole).cast("decimal(20,0)") * F.lit(exact)
+
+
+def shifted(masks: DataFrame, values: DataFrame, totals: DataFrame, order: DataFrame, shift: float) -> DataFrame:
+    """(load_id, column_name) of every load whose values moved by more than ``shift`` against the load
+    before. What masks moved, values moved at least as far, so the divergence of masks settles most
+    loads that did; the values of the others are compared themselves."""
+    enough = F.col("gap") > F.col("whole") * F.lit(Decimal(str(2 * shift)))
+    by_mask = cut(divergence(masks, totals, order, "mask").select("load_id", "column_name", enough.alias("_moved")))
+    by_value = divergence(values, totals, order, "value", only=by_mask.where("not _moved")).where(enough)
+    return by_mask.where("_moved").select("load_id", "column_name").unionByName(by_value.select("load_id", "column_name"))
+
+
+def load_issues(masks: DataFrame, values: DataFrame, specs: Iterable[Any], order: DataFrame, distinct_columns: list[str], shift_columns: list[str], null_share: float = 0.2, pattern_share: float = 0.05, range_share: float = 0.05, shift: float = 0.5) -> DataFrame:
+    """(column_name, load_id, issue) of every load that breaks a bound; see TESTDATA.md, p2.
+
+    ``masks`` comes from ``mask_counts``, is read several times and should be cut; ``values`` comes from
+    ``value_histogram`` over the distinct and shift columns.
+    """
+    profile = cut(column_profile(masks, list(specs)))  # a row per load and column
+    broken = F.array(
+        F.when(over_share("null_count", "row_count", null_share), F.lit("nulls")),
+        F.when(over_share("off_pattern", "value_count", pattern_share), F.lit("pattern")),
+        F.when(over_share("out_of_range", "value_count", range_share), F.lit("range")),
     )
-    return wide.select("column_name", "load_id", F.explode(F.array_compact(issues)).alias("issue"))
+    found = profile.select("column_name", "load_id", F.explode(F.array_compact(broken)).alias("issue"))
+    if distinct_columns:
+        counts = cut(values.where(F.col("column_name").isin(distinct_columns) & F.col("value").isNotNull()).groupBy("load_id", "column_name").agg(F.count(F.lit(1)).alias("now")))
+        before = counts.join(order.where("next_load is not null"), "load_id").select(F.col("next_load").alias("load_id"), "column_name", F.col("now").alias("before"))
+        changed = counts.join(before, ["load_id", "column_name"]).where("now * 2 < before or now > before * 2")
+        found = found.unionByName(changed.select("column_name", "load_id", F.lit("distinct").alias("issue")))
+    if shift_columns:
+        of = F.col("column_name").isin(shift_columns)
+        moved = shifted(masks.where(of), values.where(of), profile, order, shift)
+        found = found.unionByName(moved.select("column_name", "load_id", F.lit("shift").alias("issue")))
+    return found

@@ -24,13 +24,12 @@ def p1_revenue(spark: SparkSession, folder: str) -> DataFrame:
     return revised.select(F.col("event_day").alias("order_date"), F.col("group_key").alias("currency"), "published_day", F.col("total_amount").alias("total_revenue"), F.col("record_count").alias("order_count"), "revision")
 
 
-def _loads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The order of the loads of silver_orders and of metrics."""
-    orders, metrics = read_table(spark, folder, "silver_orders"), read_table(spark, folder, "metrics")
-    files = orders.where(~is_blank(F.col("source_file"))).select(F.col("source_file").alias("load_id")).distinct()
-    files = files.withColumn("stream", F.regexp_replace("load_id", "[^/]*$", ""))
-    runs = metrics.where(~is_blank(F.col("run_id"))).groupBy(F.col("run_id").alias("load_id")).agg(F.min("pipeline_name").alias("stream"), F.min("run_timestamp").alias("at"))
-    return profile.load_order(files, "stream", ["load_id"]), profile.load_order(runs, "stream", ["at", "load_id"])
+def _order_of(table: str, df: DataFrame, loads: DataFrame) -> DataFrame:
+    """The order of the loads of silver_orders or of metrics; ``loads`` has a row or more per load."""
+    if table == "silver_orders":
+        return profile.load_order(loads.select("load_id").distinct().withColumn("stream", F.regexp_replace("load_id", "[^/]*$", "")), "stream", ["load_id"])
+    runs = df.where(~is_blank(F.col("run_id"))).groupBy(F.col("run_id").alias("load_id")).agg(F.min("pipeline_name").alias("stream"), F.min("run_timestamp").alias("at"))
+    return profile.load_order(runs, "stream", ["at", "load_id"])
 
 
 # The columns checked in each table, as in column_specs.
@@ -40,12 +39,15 @@ DISTINCT_CHECKED, SHIFT_CHECKED = ["customer_id", "rule_name", "dataset_name"],
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    specs = read_table(spark, folder, "column_specs")
+    declared = read_table(spark, folder, "column_specs").collect()  # a row per checked column
     found = []
-    for table, order in zip(("silver_orders", "metrics"), _loads(spark, folder), strict=True):
-        histogram = profile.value_histogram(read_table(spark, folder, table), F.col(LOAD[table]), CHECKED[table])
-        own = specs.where(F.col("table_name") == table).drop("table_name")
-        issues = profile.load_issues(histogram, own, order, DISTINCT_CHECKED, [c for c in SHIFT_CHECKED if c in CHECKED[table]])
+    for table, columns in CHECKED.items():
+        df, load = read_table(spark, folder, table), F.col(LOAD[table])
+        specs = [r for r in declared if r["table_name"] == table]
+        masks = cut(profile.mask_counts(df, load, columns, specs))
+        distinct, shift = ([c for c in columns if c in of] for of in (DISTINCT_CHECKED, SHIFT_CHECKED))
+        values = profile.value_histogram(df, load, distinct)
+        issues = profile.load_issues(masks, values, specs, _order_of(table, df, masks), distinct, shift)
         found.append(issues.select(F.lit(table).alias("table_name"), "column_name", "load_id", "issue"))
     return found[0].unionByName(found[1])
 
@@ -63,11 +65,12 @@ def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
 def p2_mask_shift(spark: SparkSession, folder: str) -> DataFrame:
     """How far the masks of every column moved against the load before."""
     found = []
-    for table, order in zip(("silver_orders", "metrics"), _loads(spark, folder), strict=True):
+    for table in CHECKED:
         df = read_table(spark, folder, table)
         masks = cut(profile.mask_histogram(df, F.col(LOAD[table]), [c for c in df.columns if c != LOAD[table]]))
         totals = masks.where("mask is not null").groupBy("load_id", "column_name").agg(F.sum("n").alias("value_count"))
-        found.append(profile.divergence(masks, totals, order, "mask").select(F.lit(table).alias("table_name"), "column_name", "load_id", F.round("divergence", 9).alias("divergence")))
+        moved = profile.divergence(masks, totals, _order_of(table, df, masks), "mask")
+        found.append(moved.select(F.lit(table).alias("table_name"), "column_name", "load_id", F.round("divergence", 9).alias("divergence")))
     return found[0].unionByName(found[1])
 
 
