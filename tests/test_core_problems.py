@@ -5,6 +5,8 @@ from datetime import datetime, timedelta
 
 import brute
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -12,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weir.operators import late_events, orphans, profile, schema_fold
-from weir.operators.finger_tree import FingerBTree
+from weir.operators.finger_tree import LATE, REFUSED, TAKEN, FingerBTree
 
 T0 = datetime(2024, 10, 1)
 EVENT = {"key": "k", "event": "e", "arrival": "a", "group": "g", "amount": "v"}
@@ -23,12 +25,18 @@ EVENTS = "k string, e timestamp_ntz, a timestamp_ntz, g string, v double"
 @given(st.integers(0, 10**9))
 def test_finger_tree_against_dict(seed):
     r, tree, held, top = random.Random(seed), FingerBTree(), {}, 0
+    floor = closed = 0
     for _ in range(400):
         step = r.random()
         if step < 0.8:
             top += r.randint(0, 3)
             key, amount = (top if r.random() < 0.6 else max(0, top - r.randint(0, 300))), r.randint(-5, 9)
-            tree.insert(key, amount)
+            closed = max(closed, top - r.randint(0, 400))
+            tree.close(closed)
+            told = tree.insert(key, amount)
+            assert told == (REFUSED if key < floor else LATE if key < closed else TAKEN)
+            if told == REFUSED:
+                continue
             held.setdefault(key, [0, 0])
             held[key][0] += amount
             held[key][1] += 1
@@ -39,7 +47,9 @@ def test_finger_tree_against_dict(seed):
             assert tree.range(low, high) == (sum(v[0] for v in inside), sum(v[1] for v in inside))
         else:
             low = max(0, top - r.randint(-5, 200))
-            assert tree.evict_below(low) == [(k, *held.pop(k)) for k in sorted(held) if k < low]
+            gone = [held.pop(k) for k in sorted(held) if k < low]
+            assert tree.evict_below(low) == (sum(v[0] for v in gone), sum(v[1] for v in gone))
+            floor = max(floor, low)
     assert tree.total == (sum(v[0] for v in held.values()), sum(v[1] for v in held.values()))
 
 
@@ -72,6 +82,34 @@ def test_late_outcomes_and_edges(spark):
     assert late_events.late_outcomes(df.limit(0), **EVENT).count() == 0
 
 
+def test_outcomes_are_the_answers_of_the_tree(monkeypatch):
+    """A tree that never closes and never cuts off leaves no outcome (but in the slot of the horizon)."""
+    h = 3_600_000_000
+    times = pa.array([T0 + timedelta(hours=x) for x in (2, 26, 80, 200)], pa.timestamp("us"))
+    events = pa.array([T0, T0, T0 + timedelta(hours=1), T0], pa.timestamp("us"))
+    batch = pa.record_batch([pa.array(["a", "b", "c", "d"]), pa.array(["g"] * 4), times, events, pa.array([1, 2, 3, -4], pa.decimal128(38, 0))], names=list("kgaev"))
+
+    def told():
+        out = pa.Table.from_batches(list(late_events._shards(72 * h, 24 * h, 60_000_000, 24 * h)(iter([batch])))).to_pylist()
+        return {x["record_key"]: x["outcome"] for x in out if x["kind"] == "outcome"}, sum(x["n"] for x in out if x["kind"] == "revision")
+
+    assert told() == ({"b": "corrects", "c": "cut_off", "d": "cut_off"}, 2)
+    monkeypatch.setattr(FingerBTree, "close", lambda self, below: None)
+    monkeypatch.setattr(FingerBTree, "cut_off", lambda self, low: None)
+    assert told() == ({}, 4)
+
+
+def test_sums_of_large_amounts_are_exact(spark):
+    r = random.Random(2)
+    values = [r.choice([-1, 1]) * r.randint(0, 10 ** r.randint(1, 37)) for _ in range(500)]
+    order = np.array(sorted(range(500), key=lambda i: i % 7))
+    starts = np.flatnonzero(np.r_[True, np.diff(order % 7) != 0])
+    found = late_events._sums(pa.array(values, pa.decimal128(38, 0)), order, starts)
+    assert found == [sum(v for i, v in enumerate(values) if i % 7 == k) for k in range(7)]
+    df = spark.createDataFrame([(v,) for v in (1.0, None, float("nan"), float("inf"), 1e300, -5.0)], "v double")
+    assert late_events.unfit_amounts(df, "v").first()[0] == 3
+
+
 def test_late_events_published_by_the_hour(spark):
     h = timedelta(hours=1)
     data = [("a", T0, T0 + h / 2, "g", 1.0), ("b", T0, T0 + h / 4, "g", 2.0), ("c", T0, T0 + 5 * h, "g", 4.0), ("d", T0, T0 + 30 * h, "h", 8.0)]
@@ -221,6 +259,52 @@ def test_orphans_against_brute_force(spark):
     assert orphans.orphan_references(refs, changes.limit(0), ["name"]).where("key_state <> 'missing'").count() == 0
 
 
+def test_the_ledger_is_carried_from_day_to_day(spark):
+    """Balances of the first days and the deltas of the rest are those of all days; so are the orphans."""
+    r = random.Random(5)
+    history, references = [], []
+    for i in range(30):
+        at, kind = T0 + timedelta(hours=r.randint(0, 150)), "created"
+        for _ in range(r.choice([1, 2, 3, 4])):
+            history.append(("t", f"K{i}", kind, at))
+            kind, at = ("deleted" if kind != "deleted" else "restored"), at + timedelta(hours=r.randint(1, 90))
+    references = [(f"r{i}", "t", "K1" if i % 3 == 0 else f"K{r.randint(0, 36)}", T0 + timedelta(hours=r.randint(0, 300))) for i in range(500)]
+    middle = T0 + timedelta(days=5)
+    refs = spark.createDataFrame(references, "name string, ref_table string, ref_key string, at timestamp_ntz")
+    changes = orphans.existence_changes(spark.createDataFrame(history, "tb string, k string, kind string, ts timestamp_ntz"), "tb", "k", "kind", "ts")
+    first, rest = F.col("at") < F.lit(middle), F.col("at") >= F.lit(middle)
+    opening = orphans.carry(None, orphans.key_deltas(refs.where(first), changes.where(first)))
+    whole = orphans.carry(None, orphans.key_deltas(refs, changes))
+    later = orphans.existence_changes(spark.createDataFrame([h for h in history if h[3] >= middle], "tb string, k string, kind string, ts timestamp_ntz"), "tb", "k", "kind", "ts", opening)
+    assert rows(later) == rows(changes.where(rest))
+    carried = orphans.carry(opening, orphans.key_deltas(refs.where(rest), later))
+    assert rows(carried) == rows(whole)
+    state = {}
+    for _, k, kind, at in sorted(history, key=lambda x: x[3]):
+        state[k] = kind
+    want = {}
+    for _, _, k, _ in references:
+        if state.get(k, "deleted") == "deleted":
+            want[k] = (want.get(k, (0, ""))[0] + 1, "deleted" if k in state else "missing")
+    assert {x["ref_key"]: (x["refs"], x["key_state"]) for x in orphans.orphan_keys(whole).collect()} == want
+    withdrawn = refs.withColumn("delta", F.lit(-1))
+    assert orphans.orphan_keys(orphans.carry(whole, orphans.key_deltas(withdrawn, changes.limit(0)))).count() == 0
+    late = orphans.orphan_references(refs.where(rest), changes.where(rest), ["name"], opening=opening)
+    seen = {n for n, _, k, at in references if at >= middle}
+    assert {x["name"]: x["key_state"] for x in late.collect()} == {n: s for n, s in brute_orphans(references, history) if n in seen}
+
+
+def test_a_hot_key_that_changes_within_the_day_is_never_sorted(spark):
+    """Half of all references name one key on the day it changes: no window or sort over them."""
+    history = [("t", "HOT", "created", T0), ("t", "HOT", "deleted", T0 + timedelta(hours=6)), ("t", "HOT", "restored", T0 + timedelta(hours=7))]
+    references = [(f"r{i}", "t", "HOT" if i % 2 else f"K{i}", T0 + timedelta(minutes=i % 1000)) for i in range(4000)]
+    refs = spark.createDataFrame(references, "name string, ref_table string, ref_key string, at timestamp_ntz")
+    changes = orphans.existence_changes(spark.createDataFrame(history, "tb string, k string, kind string, ts timestamp_ntz"), "tb", "k", "kind", "ts")
+    found = orphans.orphan_references(refs, changes, ["name"])
+    assert sorted((x["name"], x["key_state"]) for x in found.collect()) == brute_orphans(references, history)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 LINES = "file_id bigint, feed string, file_seq int, fmt string, line_no int, raw_line string"
 
 

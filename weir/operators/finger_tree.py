@@ -3,7 +3,10 @@
 Leaves hold sorted keys, each with its partial (sum, count). Every inner node holds the partial of
 its whole subtree. A finger points at the rightmost leaf, so keys in order are appended without a
 descent; a late key descends from the root and updates the partials on its path. ``evict_below``
-drops whole subtrees left of the cut-off and descends only along the boundary.
+drops whole subtrees left of the cut-off by their totals and descends only along the boundary.
+
+``insert`` tells what became of a key: refused below the cut-off, late below what was closed, or taken
+in order.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 
 FANOUT = 32
+TAKEN, LATE, REFUSED = 0, 1, 2
 
 
 class _Node:
@@ -39,6 +43,8 @@ class FingerBTree:
     def __init__(self) -> None:
         self._root = _Node(leaf=True)
         self._spine: list[_Node] = [self._root]  # from the root to the finger leaf
+        self.floor: int | None = None  # keys below were cut off
+        self.closed: int | None = None  # keys below lie in what was closed
 
     def __len__(self) -> int:
         return self._root.count
@@ -47,13 +53,29 @@ class FingerBTree:
     def total(self) -> tuple[int, int]:
         return self._root.total, self._root.count
 
-    def insert(self, key: int, amount: int, count: int = 1) -> bool:
-        """Adds a partial at ``key``. True if the finger took it, False if it came late."""
+    @property
+    def least(self) -> int | None:
+        return self._root.keys[0] if self._root.keys else None
+
+    def cut_off(self, low: int) -> None:
+        """Keys below ``low`` are refused from now on; those held stay until ``evict_below``."""
+        if self.floor is None or low > self.floor:
+            self.floor = low
+
+    def close(self, below: int) -> None:
+        """Keys below ``below`` are late from now on."""
+        if self.closed is None or below > self.closed:
+            self.closed = below
+
+    def insert(self, key: int, amount: int, count: int = 1) -> int:
+        """Adds a partial at ``key``: TAKEN, LATE (taken below what was closed) or REFUSED."""
+        if self.floor is not None and key < self.floor:
+            return REFUSED
         finger = self._spine[-1]
         if not finger.keys or key >= finger.keys[0]:
-            path, in_order = self._spine, True
+            path = self._spine
         else:
-            path, in_order = self._descend(key), False
+            path = self._descend(key)
         for node in path:
             node.total += amount
             node.count += count
@@ -70,7 +92,7 @@ class FingerBTree:
                 self._lower(path, key)
             if len(leaf.keys) > FANOUT:
                 self._split(path)
-        return in_order
+        return LATE if self.closed is not None and key < self.closed else TAKEN
 
     def range(self, low: int, high: int) -> tuple[int, int]:
         """The (sum, count) of low <= key < high."""
@@ -92,25 +114,23 @@ class FingerBTree:
                     todo.append((node.children[i], node.keys[i + 1] if i + 1 < len(node.keys) else upper))
         return total, count
 
-    def evict_below(self, low: int) -> list[tuple[int, int, int]]:
-        """Removes keys < ``low`` and returns them as (key, sum, count).
+    def evict_below(self, low: int) -> tuple[int, int]:
+        """Removes keys < ``low``, refuses them from now on, and returns the (sum, count) that left.
 
-        Subtrees wholly below the cut-off leave in one step.
+        Subtrees wholly below the cut-off leave in one step, by their totals.
         """
-        gone: list[tuple[int, int, int]] = []
+        self.cut_off(low)
         node, path = self._root, []
         if not node.keys or node.keys[0] >= low:
-            return gone
+            return 0, 0
+        held = self.total
         while True:
             path.append(node)
             if node.leaf:
                 cut = bisect_left(node.keys, low)
-                gone.extend(zip(node.keys[:cut], node.sums[:cut], node.counts[:cut], strict=True))
                 del node.keys[:cut], node.sums[:cut], node.counts[:cut]
                 break
             keep = max(0, bisect_right(node.keys, low) - 1)
-            for child in node.children[:keep]:
-                _dump(child, gone)
             del node.children[:keep], node.keys[:keep]
             node = node.children[0]
         for above in range(len(path) - 1, -1, -1):
@@ -124,7 +144,7 @@ class FingerBTree:
         while not self._root.leaf and len(self._root.children) <= 1:
             self._root = self._root.children[0] if self._root.children else _Node(leaf=True)
         self._find_finger()
-        return gone
+        return held[0] - self._root.total, held[1] - self._root.count
 
     def _descend(self, key: int) -> list[_Node]:
         node, path = self._root, [self._root]
@@ -176,10 +196,3 @@ class FingerBTree:
             node = node.children[-1]
             self._spine.append(node)
 
-
-def _dump(node: _Node, into: list[tuple[int, int, int]]) -> None:
-    if node.leaf:
-        into.extend(zip(node.keys, node.sums, node.counts, strict=True))
-    else:
-        for child in node.children:
-            _dump(child, into)

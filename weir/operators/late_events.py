@@ -2,8 +2,10 @@
 
 Plan: one shuffle on the record key. The first delivery of every key is a ``min`` of structs, which
 combines before the shuffle, so a key that holds a third of all rows is one row per map task. Each
-partition is then a shard: sorted by arrival it streams through one finger B-tree per group. A shard
-holds only the partials of the lateness horizon, not rows. Shards send changes of (group, period,
+partition is then a shard: sorted by arrival it streams through one finger B-tree per group. Records of
+one arrival slot, group and event slot become one partial (numpy); the tree takes it, takes it late,
+into a period that was closed, or refuses it below the cut-off, and this is the records' outcome. A
+shard holds only the partials of the lateness horizon, not rows. Shards send changes of (group, period,
 publication); these are added up across shards, so a hot group or day is spread over all shards.
 """
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.operators.finger_tree import FingerBTree
+from weir.operators.finger_tree import REFUSED, FingerBTree
 from weir.sources.session import ensure_importable
 
 DAY_US = 86_400_000_000
@@ -45,28 +47,27 @@ def first_deliveries(df: DataFrame, key: str, event: str, arrival: str, keep: li
 class _Shard:
     """One partition's state: a tree per group, what eviction sealed, what was last published."""
 
-    def __init__(self, lateness: int, period: int, slot: int) -> None:
-        self.lateness, self.period, self.slot = lateness, period, slot
+    def __init__(self, period: int, slot: int) -> None:
+        self.slot, self.width = slot, period // slot
         self.trees: dict[str | None, FingerBTree] = defaultdict(FingerBTree)
         self.sealed: dict[tuple, list[int]] = {}
         self.published: dict[tuple, tuple[int, int]] = {}
         self.touched: set[tuple] = set()
 
-    def add(self, groups: list, slots: np.ndarray, amounts: list) -> None:
-        partial: dict[tuple, list[int]] = {}
-        for g, s, a in zip(groups, slots.tolist(), amounts, strict=True):
-            p = partial.setdefault((g, s), [0, 0])
-            p[0] += a
-            p[1] += 1
-        for (g, s), (a, n) in sorted(partial.items(), key=lambda x: x[0][1]):
-            self.trees[g].insert(s, a, n)
-            self.touched.add((g, s * self.slot // self.period))
+    def insert(self, group: str | None, slot: int, amount: int, count: int, floor: int, closed: int) -> int:
+        """What the group's tree says to a partial, with the cut-off and what is closed as it comes."""
+        tree = self.trees[group]
+        tree.cut_off(floor)
+        tree.close(closed)
+        told = tree.insert(slot, amount, count)
+        if told != REFUSED:
+            self.touched.add((group, slot // self.width))
+        return told
 
     def publish(self, tick: int) -> Iterator[tuple]:
         """The change of every touched (group, period) since it was last published."""
-        width = self.period // self.slot
         for g, p in sorted(self.touched, key=lambda x: (x[0] is not None, x[0] or "", x[1])):
-            a, n = self.trees[g].range(p * width, (p + 1) * width)
+            a, n = self.trees[g].range(p * self.width, (p + 1) * self.width) if g in self.trees else (0, 0)
             sealed = self.sealed.get((g, p), (0, 0))
             now = (a + sealed[0], n + sealed[1])
             before = self.published.get((g, p), (0, 0))
@@ -75,49 +76,68 @@ class _Shard:
                 yield ("revision", None, g, p, tick, now[0] - before[0], now[1] - before[1], None)
         self.touched.clear()
 
-    def evict(self, horizon: int) -> None:
-        """Drops what no later arrival can reach; a period wholly below is forgotten."""
-        if horizon % self.slot:
-            horizon -= horizon % self.slot  # a slot that the horizon cuts stays
-        for g, tree in self.trees.items():
-            for s, a, n in tree.evict_below(horizon // self.slot):
-                sealed = self.sealed.setdefault((g, s * self.slot // self.period), [0, 0])
+    def evict(self, floor: int) -> None:
+        """Drops the slots below ``floor``, period by period, by the totals of their subtrees; a period
+        wholly below is forgotten."""
+        for g, tree in list(self.trees.items()):
+            while tree.least is not None and tree.least < floor:
+                p = tree.least // self.width
+                a, n = tree.evict_below(min(floor, (p + 1) * self.width))
+                sealed = self.sealed.setdefault((g, p), [0, 0])
                 sealed[0] += a
                 sealed[1] += n
-        for g in [g for g, tree in self.trees.items() if not len(tree)]:
-            del self.trees[g]
-        done = horizon // self.period
+            if tree.least is None:
+                del self.trees[g]
+        done = floor // self.width
         for state in (self.sealed, self.published):
             for k in [k for k in state if k[1] < done]:
                 del state[k]
 
 
+def _sums(amounts: pa.Array, order: np.ndarray, starts: np.ndarray) -> list[int]:
+    """Exact sums of 128-bit numbers over runs of ``order``: four limbs, added apart."""
+    whole = amounts.fill_null(0)
+    limbs = np.frombuffer(whole.buffers()[1], dtype=np.uint32).reshape(-1, 4)[whole.offset : whole.offset + len(whole)].astype(np.int64)
+    limbs[:, 3] -= (limbs[:, 3] >> 31) << 32  # the sign
+    added = np.add.reduceat(limbs[order], starts, axis=0).tolist()
+    return [a + (b << 32) + (c << 64) + (d << 96) for a, b, c, d in added]
+
+
 def _shards(lateness: int, period: int, slot: int, every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tick = _Shard(lateness, period, slot), None
+        shard, tick = _Shard(period, slot), None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows: list[tuple] = []
             arrival = np.asarray(batch.column(2).cast(pa.timestamp("us")).cast(pa.int64()))
             event = np.asarray(batch.column(3).cast(pa.timestamp("us")).cast(pa.int64()))
-            keys, groups, amounts = batch.column(0), batch.column(1), batch.column(4)
-            ticks = arrival // every
-            late = event < arrival - lateness  # left of the horizon as it stood when the row came
-            corrects = (event // period < arrival // period) & ~late
-            for i in np.flatnonzero(late | corrects):
-                rows.append(("outcome", keys[i].as_py(), groups[i].as_py(), int(event[i] // period), int(ticks[i]), None, None, "cut_off" if late[i] else "corrects"))
-            bounds = [0, *(np.flatnonzero(np.diff(ticks)) + 1).tolist(), len(ticks)]
-            for lo, hi in zip(bounds, bounds[1:], strict=False):
-                if lo == hi:
-                    continue
-                if tick is not None and ticks[lo] != tick:
-                    rows.extend(shard.publish(tick))
-                    shard.evict(int(arrival[lo]) - lateness)
-                tick = int(ticks[lo])
-                taken = np.flatnonzero(~late[lo:hi]) + lo
-                if len(taken):
-                    at = pa.array(taken)
-                    shard.add(groups.take(at).to_pylist(), event[taken] // slot, [int(x or 0) for x in amounts.take(at).to_pylist()])
+            groups = batch.column(1).dictionary_encode()
+            names = [*groups.dictionary.to_pylist(), None]
+            group = np.asarray(groups.indices.fill_null(len(names) - 1)).astype(np.int64)
+            come, slots = arrival // slot, event // slot
+            floors = (arrival - lateness) // slot
+            # in the slot that the horizon cuts, the record's own time decides
+            beyond = (slots == floors) & (event < arrival - lateness)
+            order = np.lexsort((beyond, slots, group, come))
+            key = np.stack([come, group, slots, beyond])[:, order]
+            starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+            counts = np.diff(np.r_[starts, len(order)]).tolist()
+            told = np.zeros(len(starts), dtype=np.int8)
+            firsts = order[starts]
+            partials = zip(group[firsts].tolist(), slots[firsts].tolist(), floors[firsts].tolist(), beyond[firsts].tolist(), arrival[firsts].tolist(), _sums(batch.column(4), order, starts), counts, strict=True)
+            for i, (g, s, floor, out, at, amount, count) in enumerate(partials):
+                now = at // every
+                if now != tick:
+                    if tick is not None:
+                        rows.extend(shard.publish(tick))
+                        shard.evict(floor)
+                    tick = now
+                told[i] = REFUSED if out else shard.insert(names[g], s, amount, count, floor, at // period * shard.width)
             yield _batch(rows)
+            outcome = np.empty(len(order), dtype=np.int8)
+            outcome[order] = np.repeat(told, counts)
+            yield _outcomes(batch, outcome, event // period, arrival // every)
         if tick is not None:
             yield _batch(list(shard.publish(tick)))
 
@@ -129,17 +149,30 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
+def _outcomes(batch: pa.RecordBatch, told: np.ndarray, periods: np.ndarray, ticks: np.ndarray) -> pa.RecordBatch:
+    """The records that came after their period was closed, with what the tree said."""
+    at = np.flatnonzero(told)
+    take = pa.array(at)
+    kinds = pa.array(["outcome"], pa.string()).take(pa.array(np.zeros(len(at), dtype=np.int64)))
+    words = pa.array(["corrects", "cut_off"], pa.string()).take(pa.array((told[at] == REFUSED).astype(np.int64)))
+    return pa.RecordBatch.from_arrays(
+        [kinds, batch.column(0).take(take).cast(pa.string()), batch.column(1).take(take).cast(pa.string()), pa.array(periods[at]), pa.array(ticks[at]), pa.nulls(len(at), pa.decimal128(38, 0)), pa.nulls(len(at), pa.int64()), words], schema=_ARROW
+    )
+
+
 def late_event_log(df: DataFrame, key: str, event: str, arrival: str, group: str, amount: str, lateness_hours: int = 72, period_us: int = DAY_US, slot_us: int = 60_000_000, scale: int = 2, publish_us: int | None = None) -> DataFrame:
     """The log of the trees: ``outcome`` rows for records that came after their period ended, and
     ``revision`` rows with the change that a publication (``tick``) makes to a (group, period).
 
     Every key counts once, by its first delivery. A record later than the lateness is ``cut_off`` and
     enters no aggregate; equality still counts. Amounts are exact: fixed point with ``scale`` places,
-    null, not-a-number and what 38 digits can't hold as 0. ``period_us`` must be a multiple of ``slot_us``.
-    Publications follow each ``publish_us`` of arrival time, a period long if left out.
+    null, not-a-number and what 38 digits can't hold as 0 (``unfit_amounts`` counts the latter two).
+    Publications follow each ``publish_us`` of arrival time, a period long if left out. Lateness, period
+    and publications must be multiples of ``slot_us``.
     """
-    if period_us % slot_us:
-        raise ValueError("period_us must be a multiple of slot_us")
+    lateness_us = lateness_hours * 3_600_000_000
+    if period_us % slot_us or (publish_us or period_us) % slot_us or lateness_us % slot_us:
+        raise ValueError("lateness, period_us and publish_us must be multiples of slot_us")
     value = F.col(amount).cast("double")
     fixed = F.when(~F.isnan(value), value).try_cast(f"decimal(38,{scale})")
     ensure_importable(df.sparkSession)
@@ -153,10 +186,17 @@ def late_event_log(df: DataFrame, key: str, event: str, arrival: str, group: str
             (fixed * F.lit(10**scale)).try_cast("decimal(38,0)").alias("_v"),
         )
         .sortWithinPartitions("_a", "_e", "_k")
-        .mapInArrow(_shards(lateness_hours * 3_600_000_000, period_us, slot_us, publish_us or period_us), _OUT)
+        .mapInArrow(_shards(lateness_us, period_us, slot_us, publish_us or period_us), _OUT)
     )
 
 
+def unfit_amounts(df: DataFrame, amount: str, scale: int = 2) -> DataFrame:
+    """One row: how many amounts are not-a-number, infinite or beyond 38 digits and enter sums as 0."""
+    value = F.col(amount).cast("double")
+    held = F.when(~F.isnan(value), value).try_cast(f"decimal(38,{scale})") * F.lit(10**scale)
+    return df.agg(F.count_if(value.isNotNull() & held.try_cast("decimal(38,0)").isNull()).alias("unfit_amounts"))
+
+
 def late_outcomes(df: DataFrame, key: str, event: str, arrival: str, group: str, amount: str, lateness_hours: int = 72) -> DataFrame:
     """(record_key, order_day, outcome) of every record that came after its day."""
     log = late_event_log(df, key, event, arrival, group, amount, lateness_hours)

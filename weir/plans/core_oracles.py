@@ -96,5 +96,8 @@ UNION ALL SELECT table_name, column_name, load_id, 'shift' FROM paired WHERE col
     "p2_rare_masks": f"""WITH {_CELLS}, masks AS (SELECT table_name, column_name, load_id, {_MASK} AS mask, count(*) AS n FROM valued WHERE v IS NOT NULL AND column_name NOT IN ('quantity', 'unit_price') GROUP BY ALL)
 SELECT * FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY table_name, column_name, load_id) AS BIGINT) AS value_count FROM masks) WHERE n / value_count < 0.05""",
     "p4_found": f"WITH {_ORPHANS} SELECT DISTINCT order_id, field_name, key_state FROM judged WHERE key_state IS NOT NULL",
+    "p4_ledger": f"""WITH {_ORPHANS}, state AS (SELECT ref_table, key_value, arg_max(change_kind, changed_at) AS last FROM history GROUP BY 1, 2)
+SELECT r.ref_table, r.k AS ref_key, count(*) AS refs, CASE WHEN s.last IS NULL THEN 'missing' ELSE 'deleted' END AS key_state
+FROM refs r LEFT JOIN state s ON s.ref_table = r.ref_table AND s.key_value = r.k WHERE r.at_ts IS NOT NULL AND (s.last IS NULL OR s.last = 'deleted') GROUP BY ALL""",
     "p4_daily": f"WITH {_ORPHANS} SELECT ref_table, order_day, key_state, count(*) AS reference_count FROM judged WHERE key_state IS NOT NULL GROUP BY ALL",
 }

@@ -97,7 +97,8 @@ def p2_rare_masks_all(spark: SparkSession, folder: str) -> DataFrame:
 REFERS = {"customer_id": "silver_customers", "product_id": "silver_products"}
 
 
-def _order_orphans(spark: SparkSession, folder: str) -> DataFrame:
+def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The references of silver_orders, and the changes of the keys they name."""
     orders, history = read_table(spark, folder, "silver_orders"), read_table(spark, folder, "key_history")
     cells = F.array(*[F.struct(F.lit(c).alias("field_name"), F.lit(t).alias("ref_table"), F.upper(F.trim(F.col(c))).alias("ref_key")) for c, t in REFERS.items()])
     references = (
@@ -105,8 +106,11 @@ def _order_orphans(spark: SparkSession, folder: str) -> DataFrame:
         .select("order_id", "order_day", "at", "_c.*")
         .where("ref_key <> ''")
     )
-    changes = orphans.existence_changes(history, "ref_table", "key_value", "change_kind", "changed_at")
-    return orphans.orphan_references(references, changes, ["order_id", "order_day", "field_name"])
+    return references, orphans.existence_changes(history, "ref_table", "key_value", "change_kind", "changed_at")
+
+
+def _order_orphans(spark: SparkSession, folder: str) -> DataFrame:
+    return orphans.orphan_references(*_references(spark, folder), ["order_id", "order_day", "field_name"])
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,6 +122,11 @@ def p4_daily(spark: SparkSession, folder: str) -> DataFrame:
     return _order_orphans(spark, folder).groupBy("ref_table", "order_day", "key_state").agg(F.count(F.lit(1)).alias("reference_count"))
 
 
+def p4_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The current report: keys that orders name and that do not exist after all changes."""
+    return orphans.orphan_keys(orphans.carry(None, orphans.key_deltas(*_references(spark, folder))))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     changes = schema_fold.layout_changes(read_table(spark, folder, "raw_order_files"))
     return changes.select("file_id", "field_name", "change_kind").distinct()
@@ -128,4 +137,4 @@ def p5_records(spark: SparkSession, folder: str) -> DataFrame:
     return schema_fold.read_consistent(read_table(spark, folder, "raw_order_files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_revenue, p2_found, p2_profile, p2_mask_shift, p2_rare_masks, p2_rare_masks_all, p4_found, p4_daily, p5_found, p5_records)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_revenue, p2_found, p2_profile, p2_mask_shift, p2_rare_masks, p2_rare_masks_all, p4_found, p4_daily, p4_ledger, p5_found, p5_records)}
