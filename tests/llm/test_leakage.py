@@ -1,6 +1,7 @@
 """Leaks against a plain quadratic alignment, and disfigured passages."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -104,20 +105,68 @@ def test_disfigurement_counts_as_no_change(spark):
 def test_several_blocks(spark, monkeypatch):
     r = random.Random(9)
     items = [(i, " ".join(passage(r, 30))) for i in range(6)]
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(leakage, "BLOCK_TOKENS", 64)
     docs = spark.createDataFrame([(d, t) for d, t in items], "doc_id bigint, text string")
     assert {tuple(x) for x in leakage.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()} == {(i, i) for i in range(6)}
 
 
-def test_least_shared_holds_for_random_edits():
+def test_least_shared_holds_for_random_and_clustered_edits():
     r = random.Random(1)
-    for stretch, gram in ((22, 4), (40, 5)):
+    for stretch, gram in ((22, 3), (22, 4), (40, 4), (40, 5)):
         size, least = stretch - gram + 1, leakage.least_shared(stretch, gram)
-        for _ in range(3000):
-            n = r.randint(stretch, 4 * stretch)
+        for _ in range(6000):
+            n = r.randint(stretch, 2 * stretch - 1)
+            low = r.randint(0, n - 1)
+            high = r.randint(low + 1, n) if r.random() < 0.7 else n
             spoiled = set()
             for _ in range(n // 8):
-                at = r.randint(0, n - 1)
+                at = r.randrange(low, high) if r.random() < 0.9 else r.randrange(n)
                 spoiled |= set(range(max(0, at - gram + 1), min(n - gram + 1, at + 1)))
             kept = [k not in spoiled for k in range(n - gram + 1)]
             assert max(sum(kept[s : s + size]) for s in range(n - stretch + 1)) >= least
+
+
+def test_a_passage_of_several_pieces(spark, monkeypatch):
+    """A passage longer than a block is cut into pieces; no stretch gets lost, and none stops the job."""
+    r = random.Random(12)
+    text = passage(r, 700)
+    docs = [(i, " ".join(passage(r, 9) + text[at : at + 22 + i % 20] + passage(r, 9))) for i, at in enumerate(range(0, 660, 7))]
+    given = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(text))], "item_id bigint, text string")
+    whole = {tuple(x) for x in leakage.leaks(given, items).collect()}
+    monkeypatch.setattr(leakage, "BLOCK_TOKENS", 150)
+    assert {tuple(x) for x in leakage.leaks(given, items).collect()} == whole == {(i, 1) for i in range(len(docs))}
+
+
+def test_only_prefix_postings_are_joined():
+    """Documents that share frequent shingles only read no posting of them; a prefix holds what is rare."""
+    r = random.Random(4)
+    common = passage(r, 8)
+    pieces = [(i, "word", passage(r, 18) + common + passage(r, 18)) for i in range(40)]
+    block = leakage.Block(pieces)
+    rule = leakage.WINDOW["word"]
+    frequency = {s: np.zeros(block.gram_count(s), dtype=np.int64) for s in leakage.WINDOW}
+    shared = np.unique(block.grams[0][18 : 18 + len(common) - rule.gram + 1])
+    frequency["word"][shared] = 1000
+    prefix = leakage.prefixes(block, frequency)
+    postings = leakage.Postings(block, "word", prefix)
+    everything = sum(int(np.isin(g, shared).sum()) for g in block.grams)
+    found, read = postings.items(shared)
+    assert everything == 200 and read == len(found) == 0
+    for (_, _, ids), grams, chosen in zip(block.items, block.grams, prefix, strict=True):
+        for start in range(len(ids) - rule.stretch + 1):
+            own = chosen[start : start + rule.size]
+            assert own.sum() >= rule.size - rule.least + 1
+    no_prefix = leakage.Postings(block, "word", [np.zeros(len(g), dtype=bool) for g in block.grams])
+    at = np.arange(len(block.grams[3]))
+    assert postings.candidates(at, block.grams[3].astype(np.int64), rule) and not no_prefix.candidates(at, block.grams[3].astype(np.int64), rule)
+
+
+def test_a_block_of_many_letters_stays_small():
+    letters = "".join(chr(0x4E00 + (i * i + 7 * i) % 3000) for i in range(300_000))
+    tracemalloc.start()
+    block = leakage.Block(leakage._pieces(1, letters, leakage.BLOCK_TOKENS))
+    leakage.prefixes(block, {s: np.zeros(block.gram_count(s), dtype=np.int64) for s in leakage.WINDOW})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000 * 350  # with the windows sorted at a time; a full block stays below 700 MB

@@ -1,16 +1,17 @@
 """Documents that contain held-out passages, whole or in part, even disfigured.
 
 A prefix-filtered set join. Texts are normalised and cut into words (letters for Chinese and
-Japanese); the sets are the word n-grams ("shingles") of the passages' windows. By the pigeonhole
-principle every stretch that counts as a leak has an aligned window of which a document must share at
-least ``WINDOW[stream].least`` shingles, so it must share one of the window's rarest
-``size - least + 1``: only these, ordered by how many documents hold them, are joined. Pairs that pass
-the bounds on length and position are aligned exactly.
+Japanese); the sets are the word n-grams ("shingles") of the passages' windows. Every stretch that counts
+as a leak has an aligned window of which a document must share at least ``WINDOW[stream].least``
+shingles, so it must share one of the window's rarest ``size - least + 1``, the prefix, ordered by how
+many documents hold them. Only the postings of prefix tokens are joined; the items they name are then
+bounded by length and position and aligned exactly.
 
 Documents stream through ``mapInArrow`` and are never shuffled. The passages are the query set: they go
-to every task in blocks of at most ``BLOCK_CHARS`` characters, one pass a block, so what is broadcast
-has a bound whatever their number. Documents that share no shingle leave after the first step; of the
-others only the numbers of their words are kept, in the checkpoint folder.
+to every task in blocks of at most ``BLOCK_TOKENS`` tokens, one pass a block, so what is broadcast has a
+bound whatever their number; longer passages are cut into pieces that overlap by more than any stretch
+needs. Documents that share no shingle leave after the first step; of the others only the numbers of
+their words are kept, in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 from typing import NamedTuple
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from weir.sources.session import cut, ensure_importable
 
-BLOCK_CHARS = 8_000_000
-MAX_ITEM_CHARS = 1_000_000
+#: Tokens of passages in a block. The driver needs some 150 bytes a token, a task some 60.
+BLOCK_TOKENS = 2_000_000
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿々〇"
 _IS_CJK = re.compile(f"[{_CJK}]")
 _TOKENS = re.compile(rf"[{_CJK}]+|[^\W_{_CJK}]+")
@@ -53,17 +53,26 @@ class Window(NamedTuple):
 
 
 def least_shared(stretch: int, gram: int, one_in: int = 8) -> int:
-    """The fewest shingles that some aligned window of ``stretch`` tokens shares, over every length of
-    stretch with up to one edit in ``one_in`` tokens; an edit spoils at most ``gram`` shingles."""
-    size, least = stretch - gram + 1, stretch
-    for n in range(stretch, 40 * stretch):
-        left = n - gram + 1 - gram * (n // one_in)
-        windows = -(-(n - gram + 1) // size)
-        least = min(least, -(-left // windows))
+    """The fewest shingles that the best aligned window of ``stretch`` tokens shares, over every stretch
+    with up to one edit in ``one_in`` tokens; an edit spoils at most ``gram`` shingles.
+
+    A leak of two stretches or more has a half that is a leak, so shorter ones are in question. Two
+    windows, at either end, hold all shingles of such a stretch. What is left of them is shared by one of
+    the two to at least a half. And with k of the edits in the part that both windows cover, where they
+    spoil at most the shingles that touch it, one of the two has at most half of the other edits.
+    """
+    size = stretch - gram + 1
+    least = size
+    for n in range(stretch, 2 * stretch):
+        edits, common = n // one_in, 2 * stretch - n
+        left = n - gram + 1 - gram * edits
+        halved = -(-left // (1 if n == stretch else 2))
+        spread = min(size - min(gram * k, common + gram - 1) - gram * ((edits - k) // 2) for k in range(min(edits, common) + 1))
+        least = min(least, max(halved, spread))
     return least
 
 
-WINDOW = {"word": Window(22, 4, least_shared(22, 4)), "letter": Window(40, 5, least_shared(40, 5))}
+WINDOW = {"word": Window(22, 4, least_shared(22, 4)), "letter": Window(40, 4, least_shared(40, 4))}
 EDIT = 8  # one edit in so many tokens
 
 
@@ -94,38 +103,34 @@ def stream_of(normal: str) -> str:
 
 
 class Block:
-    """The shingles of some passages, by number."""
+    """The shingles of some passages, by number. ``pieces`` are (item_id, stream, tokens)."""
 
-    def __init__(self, items: list[tuple]) -> None:
+    def __init__(self, pieces: Iterable[tuple]) -> None:
         self.vocabulary: dict[str, dict[str, int]] = {s: {} for s in WINDOW}
         self.items: list[tuple] = []  # (item_id, stream, token numbers)
-        grams: dict[str, dict[tuple, int]] = {s: {} for s in WINDOW}
-        self.grams: list[np.ndarray] = []  # per item: the shingle number at each position
-        for item_id, text in items:
-            normal = normalise(text)
-            stream = stream_of(normal)
-            tokens = list(letters(normal)) if stream == "letter" else words(normal)
-            rule = WINDOW[stream]
-            if len(tokens) < rule.stretch:
-                continue
+        for item_id, stream, tokens in pieces:
             known = self.vocabulary[stream]
-            ids = np.array([known.setdefault(t, len(known)) for t in tokens], dtype=np.int64)
-            own = grams[stream]
+            ids = np.fromiter((known.setdefault(t, len(known)) for t in tokens), dtype=np.int32, count=len(tokens))
             self.items.append((item_id, stream, ids))
-            self.grams.append(np.array([own.setdefault(tuple(ids[i : i + rule.gram].tolist()), len(own)) for i in range(len(ids) - rule.gram + 1)], dtype=np.int64))
-        self.codes: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for stream, own in grams.items():
-            base = len(self.vocabulary[stream]) + 1
-            if base ** WINDOW[stream].gram >= 2**63:
-                codes = np.array([hash_ids(np.array([g], dtype=np.int64), 0)[0] for g in own] or [], dtype=np.int64)
-            else:
-                codes = np.array([sum(t * base**k for k, t in enumerate(g)) for g in own] or [], dtype=np.int64)
-            order = np.argsort(codes, kind="stable")
-            self.codes[stream] = codes[order], order
+        self.codes: dict[str, np.ndarray] = {}  # the number of a shingle is its place among the codes
+        self.grams: list[np.ndarray] = [np.empty(0, np.int32)] * len(self.items)  # per item: the shingle at each position
+        for stream, rule in WINDOW.items():
+            own = [i for i, item in enumerate(self.items) if item[1] == stream]
+            parts = [self._code(stream, self.items[i][2].astype(np.int64), np.arange(len(self.items[i][2]) - rule.gram + 1)) for i in own]
+            self.codes[stream], number = np.unique(np.concatenate(parts) if parts else np.empty(0, np.int64), return_inverse=True)
+            for i, grams in zip(own, np.split(number.astype(np.int32), np.cumsum([len(p) for p in parts])[:-1]), strict=False):
+                self.grams[i] = grams
+
+    def _code(self, stream: str, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A whole number for the shingle at each of the positions ``at``."""
+        gram, base = WINDOW[stream].gram, len(self.vocabulary[stream]) + 1
+        if base**gram >= 2**63:
+            return hash_ids(np.stack([ids[at + k] for k in range(gram)], axis=1), 0)
+        return sum(ids[at + k] * base**k for k in range(gram))
 
     def shingles(self, stream: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``ids`` at which a shingle of the block starts, and its number."""
-        codes, order = self.codes[stream]
+        codes = self.codes[stream]
         gram = WINDOW[stream].gram
         if not len(codes) or len(ids) < gram:
             return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -137,17 +142,13 @@ class Block:
         at = np.flatnonzero(whole)
         if not len(at):
             return at, at
-        base = len(self.vocabulary[stream]) + 1
-        if base**gram >= 2**63:
-            code = hash_ids(np.stack([ids[at + k] for k in range(gram)], axis=1), 0)
-        else:
-            code = sum(ids[at + k] * base**k for k in range(gram))
+        code = self._code(stream, ids, at)
         found = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
         hit = codes[found] == code
-        return at[hit], order[found[hit]]
+        return at[hit], found[hit]
 
     def gram_count(self, stream: str) -> int:
-        return len(self.codes[stream][0])
+        return len(self.codes[stream])
 
 
 def hash_ids(ids: np.ndarray, seed: int) -> np.ndarray:
@@ -197,17 +198,26 @@ def _hits(block: Block):
     return run
 
 
-def prefixes(block: Block, frequency: dict[tuple[str, int], int]) -> dict[tuple[str, int], list[int]]:
-    """Shingle -> items of which it is among the rarest ``size - least + 1`` in some window."""
-    index: dict[tuple[str, int], set[int]] = defaultdict(set)
-    for i, ((_, stream, ids), grams) in enumerate(zip(block.items, block.grams, strict=True)):
+def prefixes(block: Block, frequency: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """Per item: whether the shingle at a position is among the rarest ``size - least + 1`` of some
+    window. ``frequency`` has the number of documents by stream and shingle; ties go by number."""
+    rank = {}
+    for stream in WINDOW:
+        order = np.lexsort((np.arange(block.gram_count(stream)), frequency[stream]))
+        rank[stream] = np.empty(len(order), dtype=np.int32)
+        rank[stream][order] = np.arange(len(order), dtype=np.int32)
+    out = []
+    for (_, stream, _), grams in zip(block.items, block.grams, strict=True):
         rule = WINDOW[stream]
-        rank = np.array([frequency.get((stream, int(g)), 0) for g in grams])
-        for start in range(len(ids) - rule.stretch + 1):
-            own = slice(start, start + rule.size)
-            for k in np.lexsort((grams[own], rank[own]))[: rule.size - rule.least + 1]:
-                index[stream, int(grams[start + k])].add(i)
-    return {g: sorted(of) for g, of in index.items()}
+        own = rank[stream][grams]
+        kept = rule.size - rule.least + 1
+        chosen = np.zeros(len(own), dtype=bool)
+        for low in range(0, len(own) - rule.size + 1, 50_000):  # windows at a time
+            view = np.lib.stride_tricks.sliding_window_view(own[low : low + 50_000 + rule.size - 1], rule.size)
+            places = np.argsort(view, axis=1, kind="stable")[:, :kept] if kept < rule.size else np.broadcast_to(np.arange(rule.size), view.shape)
+            chosen[(places + np.arange(low, low + len(view))[:, None]).ravel()] = True
+        out.append(chosen)
+    return out
 
 
 def aligned(item: np.ndarray, doc: np.ndarray, stretch: int) -> bool:
@@ -256,51 +266,63 @@ def _locally_aligned(item: np.ndarray, doc: np.ndarray, stretch: int) -> bool:
 
 
 class Postings:
-    """Where the shingles of a stream occur in the items, and which of them are prefix tokens."""
-
-    def __init__(self, block: Block, stream: str, index: dict[tuple[str, int], list[int]]) -> None:
-        rows = [(g, i, k, i in index.get((stream, g), ())) for i, (item, grams) in enumerate(zip(block.items, block.grams, strict=True)) if item[1] == stream for k, g in enumerate(grams.tolist())]
-        rows.sort()
-        table = np.array(rows, dtype=np.int64).reshape(-1, 4)
-        self.begin = np.searchsorted(table[:, 0], np.arange(block.gram_count(stream) + 1))
-        self.item, self.place, self.prefix = table[:, 1], table[:, 2], table[:, 3].astype(bool)
-        self.longest = max((len(i[2]) for i in block.items if i[1] == stream), default=0)
+    """In which items the shingles of a stream are prefix tokens, and where shingles stand in an item."""
+
+    def __init__(self, block: Block, stream: str, prefix: list[np.ndarray]) -> None:
+        own = [i for i, item in enumerate(block.items) if item[1] == stream]
+        pairs = [np.stack([block.grams[i][prefix[i]].astype(np.int64), np.full(int(prefix[i].sum()), i)]) for i in own]
+        table = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.empty((2, 0), np.int64)
+        self.begin = np.searchsorted(table[0], np.arange(block.gram_count(stream) + 1))
+        self.item = table[1].astype(np.int32)
+        self.order = {i: np.argsort(block.grams[i], kind="stable").astype(np.int32) for i in own}
+        self.grams = {i: block.grams[i][self.order[i]] for i in own}
+
+    def items(self, number: np.ndarray) -> tuple[np.ndarray, int]:
+        """The items of which a document with these shingles holds a prefix token, and how many postings
+        were read for that."""
+        distinct = np.unique(number)
+        counts = self.begin[distinct + 1] - self.begin[distinct]
+        total = int(counts.sum())
+        if not total:
+            return self.item[:0], 0
+        entry = np.repeat(self.begin[distinct] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(total)
+        return np.unique(self.item[entry]), total
+
+    def diagonals(self, item: int, at: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Place in the document less place in the item, of every shingle they share, in order."""
+        grams, order = self.grams[item], self.order[item]
+        low, high = np.searchsorted(grams, number), np.searchsorted(grams, number, side="right")
+        counts = high - low
+        total = int(counts.sum())
+        entry = np.repeat(low - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(total)
+        return np.sort(np.repeat(at, counts) - order[entry])
 
     def candidates(self, at: np.ndarray, number: np.ndarray, rule: Window) -> list[tuple[int, int, int]]:
-        """(item, low, high): items that share a prefix token, with the diagonals (place in the document
-        less place in the item) near which enough shingles lie.
+        """(item, low, high): items that share a prefix token, with the diagonals near which enough
+        shingles lie.
 
         A stretch of n tokens with e edits keeps at least n - gram + 1 - gram * e shingles, and its
-        diagonals spread by at most e.
+        diagonals spread by at most e. A stretch of twice the length has a half that is a leak.
         """
-        counts = self.begin[number + 1] - self.begin[number]
-        total = int(counts.sum())
-        if not total:
-            return []
-        of = np.repeat(np.arange(len(number)), counts)
-        entry = np.repeat(self.begin[number] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(total)
-        item = self.item[entry]
-        wide = int(at[-1]) + 4 * self.longest + 4
-        key = np.sort(item * wide + at[of] - self.place[entry] + 2 * self.longest)
-        lows, highs = [], []
-        for edits in range(rule.stretch // EDIT, self.longest // EDIT + 1):
-            need = max(rule.stretch, EDIT * edits) - rule.gram + 1 - rule.gram * edits
-            if need > len(key):
+        out = []
+        for item in self.items(number)[0].tolist():
+            key = self.diagonals(item, at, number)
+            lows, highs = [], []
+            for edits in range(rule.stretch // EDIT, 2 * rule.stretch // EDIT + 1):
+                need = max(rule.stretch, EDIT * edits) - rule.gram + 1 - rule.gram * edits
+                if need > len(key):
+                    continue
+                j = np.flatnonzero(key[need - 1 :] - key[: len(key) - need + 1] <= edits)
+                lows.append(key[j + need - 1] - edits)
+                highs.append(key[j] + edits)
+            low, high = (np.concatenate(x) if x else key[:0] for x in (lows, highs))
+            if not len(low):
                 continue
-            j = np.flatnonzero(key[need - 1 :] - key[: len(key) - need + 1] <= edits)
-            lows.append(key[j + need - 1] - edits)
-            highs.append(key[j] + edits)
-        low, high = (np.concatenate(x) if x else key[:0] for x in (lows, highs))
-        if not len(low):
-            return []
-        order = np.argsort(low, kind="stable")
-        low, reach = low[order], np.maximum.accumulate(high[order])
-        first = np.flatnonzero(np.r_[True, low[1:] > reach[:-1]])
-        low, high = low[first], reach[np.r_[first[1:] - 1, len(reach) - 1]]
-        of_item = (low + self.longest // EDIT) // wide
-        kept = np.isin(of_item, item[self.prefix[entry]])
-        base = of_item * wide + 2 * self.longest
-        return list(zip(of_item[kept].tolist(), (low - base)[kept].tolist(), (high - base)[kept].tolist(), strict=True))
+            order = np.argsort(low, kind="stable")
+            low, reach = low[order], np.maximum.accumulate(high[order])
+            first = np.flatnonzero(np.r_[True, low[1:] > reach[:-1]])
+            out += [(item, a, b) for a, b in zip(low[first].tolist(), reach[np.r_[first[1:] - 1, len(reach) - 1]].tolist(), strict=True)]
+        return out
 
 
 def may_align(item: np.ndarray, doc: np.ndarray, low: int, high: int, stretch: int) -> bool:
@@ -316,9 +338,9 @@ def may_align(item: np.ndarray, doc: np.ndarray, low: int, high: int, stretch: i
     return bool(np.any(gain[stretch:] - np.minimum.accumulate(gain)[: n + 1 - stretch] >= 0))
 
 
-def _verify(block: Block, index: dict[tuple[str, int], list[int]]):
+def _verify(block: Block, prefix: list[np.ndarray]):
     """(document, item) pairs of which the document's words hold a leak of the item."""
-    postings = {s: Postings(block, s, index) for s in WINDOW}
+    postings = {s: Postings(block, s, prefix) for s in WINDOW}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,22 +362,46 @@ def _verify(block: Block, index: dict[tuple[str, int], list[int]]):
     return run
 
 
+def _pieces(item_id: int, text: str, most: int) -> Iterator[tuple]:
+    """(item_id, stream, tokens) of a passage; one of more than ``most`` tokens in pieces that overlap by
+    two stretches, so every stretch of less than two lies in one of them. Shorter ones cannot leak."""
+    normal = normalise(text)
+    stream = stream_of(normal)
+    tokens = letters(normal) if stream == "letter" else words(normal)
+    stretch = WINDOW[stream].stretch
+    step = max(1, most - 2 * stretch)
+    for low in range(0, max(1, len(tokens) - 2 * stretch), step):
+        if len(tokens) - low >= stretch:
+            yield item_id, stream, tokens[low : low + step + 2 * stretch]
+
+
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[Block]:
-    """The passages in blocks of at most BLOCK_CHARS characters, in order of their id."""
+    """The passages in blocks of about BLOCK_TOKENS tokens, in order of their id."""
     held: list[tuple] = []
     size = 0
     for row in items.select(items[item_id].cast("bigint").alias("i"), items[text].alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
-        if len(row["t"]) > MAX_ITEM_CHARS:
-            raise ValueError(f"item {row['i']} has more than {MAX_ITEM_CHARS} characters")
-        if size and size + len(row["t"]) > BLOCK_CHARS:
-            yield Block(held)
-            held, size = [], 0
-        held.append((row["i"], row["t"]))
-        size += len(row["t"])
+        for piece in _pieces(row["i"], row["t"], BLOCK_TOKENS):
+            if size and size + len(piece[2]) > BLOCK_TOKENS:
+                yield Block(held)
+                held, size = [], 0
+            held.append(piece)
+            size += len(piece[2])
     if held:
         yield Block(held)
 
 
+def _frequencies(hits: DataFrame, block: Block) -> dict[str, np.ndarray]:
+    """The number of documents by stream and shingle, at most one row per shingle of the block."""
+    counted = hits.select("stream", F.explode("grams").alias("gram")).groupBy("stream", "gram").count().toArrow()
+    streams, grams, counts = np.asarray(counted["stream"].to_numpy()), counted["gram"].to_numpy(), counted["count"].to_numpy()
+    out = {}
+    for stream in WINDOW:
+        own = streams == stream
+        out[stream] = np.zeros(block.gram_count(stream), dtype=np.int64)
+        out[stream][grams[own]] = counts[own]
+    return out
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id) of every document that holds a leak of an item, once each.
 
@@ -371,10 +417,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         if not block.items:
             continue
         hits = cut(texts.mapInArrow(_hits(block), f"_id {kind}, stream string, grams array<bigint>, ids array<int>"))
-        # at most as many rows as the block has shingles
-        counted = hits.select("stream", F.explode("grams").alias("gram")).groupBy("stream", "gram").count().collect()
-        index = prefixes(block, {(r["stream"], r["gram"]): r["count"] for r in counted})
-        pairs = hits.where("ids is not null").select("_id", "stream", "ids").mapInArrow(_verify(block, index), f"_id {kind}, item_id bigint")
+        prefix = prefixes(block, _frequencies(hits, block))
+        pairs = hits.where("ids is not null").select("_id", "stream", "ids").mapInArrow(_verify(block, prefix), f"_id {kind}, item_id bigint")
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
         found = spark.createDataFrame([], f"_id {kind}, item_id bigint")
