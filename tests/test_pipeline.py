@@ -117,7 +117,7 @@ def test_pipeline(spark, tmp_path, faults):
     again = run_pipeline(spark, config)
     assert again["layers"]["gold"]["status"] == "SUCCESS" and store.read("silver_orders").count() == orders.count()
     found = sql_observability(spark, store)
-    assert {k: v[0] for k, v in found.items()} == {"orders_of_unknown_customers": True, "orders_of_unknown_products": True, "order_id_unique": True, "order_status_known": True, "customer_id_there": True, "dashboard": None}
+    assert {k: v[0] for k, v in found.items()} == {"orders_of_unknown_customers": True, "orders_of_unknown_products": True, "order_id_unique": True, "order_status_known": True, "orders_fresh": False, "customer_id_there": True, "dashboard": None}
     assert found["dashboard"][1].count() > 0
     daily = [r for r in metrics.MetricsStore(store).read(dataset="gold_daily_revenue").where("metric_name = 'row_count_delta_pct'").collect()]
     assert [r["metric_value"] for r in daily] == [0.0]  # the second run saw the first

@@ -59,17 +59,23 @@ def silver_orders(bronze_df: DataFrame, at: datetime | None = None, source_file:
 
 
 def money(value: Column) -> Column:
-    """Exact sums: fixed point with two places; what that cannot hold is left out."""
-    return F.when(~F.isnan(value), value).try_cast("decimal(28,2)")
+    """Fixed point with eight places, which adds up exactly in any order; null for what that cannot hold."""
+    return F.when(~F.isnan(value), value).try_cast("decimal(28,8)")
+
+
+def beyond_money(value: Column) -> Column:
+    """What ``money`` cannot hold, infinite values included; not-a-number is left out."""
+    return F.when(~F.isnan(value) & money(value).isNull(), value)
 
 
 def _sum(name: str) -> Column:
-    return F.coalesce(F.sum(money(F.col(name).cast("double"))).cast("double"), F.lit(0.0))
+    v = F.col(name).cast("double")
+    return F.coalesce(F.sum(money(v)).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(beyond_money(v)), F.lit(0.0))
 
 
 def _mean(name: str) -> Column:
-    v = money(F.col(name).cast("double"))
-    return F.sum(v).cast("double") / F.count(v)
+    v = F.col(name).cast("double")
+    return F.try_divide(_sum(name), F.count(F.when(~F.isnan(v), v)))
 
 
 def split_orphans(orders: DataFrame, rejected: DataFrame, key: str = "order_id") -> DataFrame:
@@ -83,17 +89,18 @@ def silver_customers(orders: DataFrame, at: datetime | None = None) -> DataFrame
     Counts per (customer, currency) combine first, so a customer with a third of all orders is a few
     rows when customers are put together.
     """
-    amount = money(F.col("total_amount").cast("double"))
+    amount = F.col("total_amount").cast("double")
     per_currency = orders.groupBy("customer_id", "currency").agg(
-        F.min("order_date").alias("_first"), F.max("order_date").alias("_last"), F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_spend"), F.count(amount).alias("_amounts")
+        F.min("order_date").alias("_first"), F.max("order_date").alias("_last"), F.count(F.lit(1)).alias("_n"), F.sum(money(amount)).alias("_spend"), F.sum(beyond_money(amount)).alias("_beyond"), F.count(F.when(~F.isnan(amount), amount)).alias("_amounts")
     )
     by_use = F.when(F.col("currency").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("currency").alias("currency")))
+    spend = F.coalesce(F.sum("_spend").cast("double"), F.lit(0.0)) + F.coalesce(F.sum("_beyond"), F.lit(0.0))
     return per_currency.groupBy("customer_id").agg(
         F.min("_first").alias("first_order_date"),
         F.max("_last").alias("last_order_date"),
         F.sum("_n").alias("total_orders"),
-        F.coalesce(F.sum("_spend").cast("double"), F.lit(0.0)).alias("total_spend"),
-        F.try_divide(F.sum("_spend").cast("double"), F.sum("_amounts")).alias("avg_order_value"),
+        spend.alias("total_spend"),
+        F.try_divide(spend, F.sum("_amounts")).alias("avg_order_value"),
         F.min(by_use)["currency"].alias("preferred_currency"),
         run_time(at).alias("last_updated"),
     )

@@ -57,12 +57,32 @@ class MetricsStore:
 
     def __init__(self, store: TableStore, table: str = "metrics") -> None:
         self.store, self.table = store, table
+        self.errors: list[str] = []
 
     def write(self, results: Iterable[CheckResult], run_id: str, pipeline: str = "", at: datetime | None = None) -> int:
-        """Appends; returns the rows written."""
+        """Appends; returns the rows written. A write that fails is kept in ``errors``, gives 0 and ends no
+        run."""
         found = list(results)
         if not found:
             return 0
+        try:
+            return self._append(found, run_id, pipeline, at)
+        except Exception as e:  # noqa: BLE001
+            self.errors.append(f"{self.table}: {e}"[:500])
+            return 0
+
+    def drop_before(self, day: str) -> int:
+        """Retention: rewrites the history without the runs before ``day`` (yyyy-MM-dd); returns how many
+        rows left. Old versions stay until the store is vacuumed."""
+        if not self.store.exists(self.table):
+            return 0
+        history = self.store.read(self.table)
+        gone = history.where(F.col("run_date") < F.lit(day).cast("date")).count()
+        if gone:
+            self.store.write(history.where(F.col("run_date") >= F.lit(day).cast("date")), self.table, partition_by=["run_date"])
+        return gone
+
+    def _append(self, found: list[CheckResult], run_id: str, pipeline: str, at: datetime | None) -> int:
         rows = metric_rows(self.store.spark, found, run_id, pipeline, at).withColumn("run_date", F.to_date("run_timestamp"))
         self.store.write(rows.coalesce(1), self.table, mode="append", merge_schema=True, partition_by=["run_date"], run_id=run_id)
         return rows.count()

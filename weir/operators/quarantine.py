@@ -40,13 +40,23 @@ class QuarantineStore:
         if not 0 <= max_pct <= 100:
             raise ValueError("max_pct must lie between 0 and 100")
         self.store, self.enabled, self.max_records, self.max_pct = store, enabled, max_records, max_pct
+        #: Rows beyond ``max_records`` that were not kept, and writes that failed, since the store was made.
+        self.left_out, self.errors = 0, []
 
     def should_quarantine(self, results: Iterable[CheckResult]) -> bool:
         return self.enabled and any(not r.passed and r.severity == "critical" for r in results)
 
     def quarantine(self, failed: DataFrame | None, layer: str, run_id: str, dataset: str = "", reasons: str | None = None, at: datetime | None = None) -> int:
         """Appends rows with five columns about their rejection; returns how many. Nothing for None
-        and empty frames. ``max_records`` keeps the rows of smallest hash, the same ones each time."""
+        and empty frames. ``max_records`` keeps the rows of smallest hash, the same ones each time, and
+        ``left_out`` counts the others. A write that fails is kept in ``errors`` and ends no run."""
+        try:
+            return self._write(failed, layer, run_id, dataset, reasons, at)
+        except Exception as e:  # noqa: BLE001
+            self.errors.append(f"quarantine_{layer}: {e}"[:500])
+            return 0
+
+    def _write(self, failed: DataFrame | None, layer: str, run_id: str, dataset: str, reasons: str | None, at: datetime | None) -> int:
         if failed is None or not self.enabled or failed.isEmpty():
             return 0
         why = F.col("_reasons") if "_reasons" in failed.columns else F.lit(reasons or "unspecified")
@@ -59,6 +69,7 @@ class QuarantineStore:
             "_quarantine_reasons": why,
         }).drop("_reasons")
         if self.max_records is not None:
+            self.left_out += max(0, marked.count() - self.max_records)
             marked = marked.orderBy(F.xxhash64(*[F.col(f"`{f.name}`") for f in marked.schema.fields if f.dataType.typeName() not in ("map", "variant")])).limit(self.max_records)
         version = self.store.write(marked, f"quarantine_{layer}", mode="append", merge_schema=True, run_id=run_id)
         if self.store.format == "delta":

@@ -117,22 +117,22 @@ def _outside(rule: AcceptedValues) -> Column:
 
 
 class AcceptedValuesEvaluator(Evaluator):
-    """Null is no violation. A reference table, if the context holds it, adds its first column."""
+    """Null is no violation. A reference table, which the context must hold, adds its first column."""
 
     def problem(self, df, rule: AcceptedValues, context):
         lost = _missing(df, rule.column)
-        if lost is None and rule.reference_table and rule.reference_table not in context.references and not rule.values:
+        if lost is None and rule.reference_table and rule.reference_table not in context.references:
             return {"error": f"reference table not given: {rule.reference_table}"}
         return lost
 
-    def _by_join(self, rule: AcceptedValues, context: Context) -> bool:
+    def by_join(self, rule: AcceptedValues, context: Context) -> bool:
         return rule.reference_table in context.references or len(rule.values) > LIST_LIMIT
 
     def scan(self, df, rule: AcceptedValues, context):
-        return {} if self._by_join(rule, context) else {"outside": F.count_if(_outside(rule))}
+        return {} if self.by_join(rule, context) else {"outside": F.count_if(_outside(rule))}
 
     def join(self, df, rule: AcceptedValues, context):
-        return self.failing(df, rule, context) if self._by_join(rule, context) else None
+        return self.failing(df, rule, context) if self.by_join(rule, context) else None
 
     def judge(self, rule: AcceptedValues, total, found, context):
         n = found["joined"] if "joined" in found else found["outside"]
@@ -140,16 +140,20 @@ class AcceptedValuesEvaluator(Evaluator):
         return n == 0, n, {"column_name": rule.column, "accepted_values": values, "case_sensitive": rule.case_sensitive}
 
     def failing(self, df, rule: AcceptedValues, context):
-        if not self._by_join(rule, context):
+        if not self.by_join(rule, context):
             return df.where(_outside(rule))
+        value = column(rule.column).cast("string")
+        allowed = self.allowed(df, rule, context)
+        return df.where(value.isNotNull()).join(allowed, (value if rule.case_sensitive else F.lower(value)) == F.col("_v"), "left_anti")
+
+    def allowed(self, df: DataFrame, rule: AcceptedValues, context: Context) -> DataFrame:
+        """(_v), the accepted values, each once, in lower case unless case counts."""
         spark, fold = df.sparkSession, (lambda c: c) if rule.case_sensitive else F.lower
         allowed = spark.createDataFrame([(v,) for v in rule.values], "_v string")
         if rule.reference_table in context.references:
             reference = context.references[rule.reference_table]
             allowed = allowed.unionByName(reference.select(reference[reference.columns[0]].cast("string").alias("_v")))
-        allowed = allowed.where("_v is not null").select(fold(F.col("_v")).alias("_v")).distinct()
-        value = column(rule.column).cast("string")
-        return df.where(value.isNotNull()).join(allowed, fold(value) == F.col("_v"), "left_anti")
+        return allowed.where("_v is not null").select(fold(F.col("_v")).alias("_v")).distinct()
 
     def sample(self, df, rule: AcceptedValues, context):
         return "invalid_values_sample", self.failing(df, rule, context).select(column(rule.column).cast("string").alias("v"))
@@ -235,6 +239,37 @@ def deduplicate(df: DataFrame, rule: Duplicates) -> DataFrame:
     return df.withColumn("_weir_rn", F.row_number().over(w)).where("_weir_rn = 1").drop("_weir_rn")
 
 
+def surplus(df: DataFrame, rule: Duplicates) -> DataFrame:
+    """The rows that ``deduplicate`` leaves out, each as often as it is surplus.
+
+    Like rows are counted first, the kept row of each key is found by aggregation, and the two meet in a
+    join, so a key that a third of all rows share (null keys are one) is never sorted in one task. Tables
+    with maps or variants, which cannot be grouped, are ranked by window.
+    """
+    if any(f.dataType.typeName() in ("map", "variant") for f in df.schema.fields):
+        w = Window.partitionBy(*[column(c) for c in rule.key_columns]).orderBy(*keep_order(df, rule))
+        return df.withColumn("_weir_rn", F.row_number().over(w)).where("_weir_rn > 1").drop("_weir_rn")
+    keys = {f"_weir_k{i}": column(c) for i, c in enumerate(rule.key_columns)}
+    counted = df.groupBy(*[column(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_weir_n"))
+    rest = F.struct(*[x for c in df.columns for x in (column(c).isNull(), column(c))])  # nulls last
+
+    def meet(side: DataFrame) -> DataFrame:
+        on = None
+        for k, c in keys.items():
+            same = c.eqNullSafe(F.col(k))
+            on = same if on is None else on & same
+        return counted.join(side, on)
+
+    best = counted
+    if rule.order_by:
+        order = column(rule.order_by)
+        tops = counted.groupBy(*[c.alias(k) for k, c in keys.items()]).agg((F.max if rule.keep == "last" else F.min)(order).alias("_weir_top"))
+        best = meet(tops).where(order.eqNullSafe(F.col("_weir_top")))
+    kept = best.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.min(rest).alias("_weir_kept"))
+    left = meet(kept).withColumn("_weir_n", F.col("_weir_n") - F.when(rest == F.col("_weir_kept"), 1).otherwise(0)).where("_weir_n > 0")
+    return left.select(*[column(c) for c in df.columns], F.explode(F.sequence(F.lit(1).cast("bigint"), "_weir_n")).alias("_weir_copy")).drop("_weir_copy")
+
+
 class DuplicatesEvaluator(Evaluator):
     def problem(self, df, rule: Duplicates, context):
         return _missing(df, *rule.key_columns, *([rule.order_by] if rule.order_by else []))
@@ -248,8 +283,7 @@ class DuplicatesEvaluator(Evaluator):
         return n == 0, n, {"key_columns": list(rule.key_columns), "order_by": rule.order_by, "keep_strategy": rule.keep, "duplicate_records_found": n, "unique_records": total - n, "dedup_ratio": ratio}
 
     def failing(self, df, rule: Duplicates, context):
-        w = Window.partitionBy(*[column(c) for c in rule.key_columns]).orderBy(*keep_order(df, rule))
-        return df.withColumn("_weir_rn", F.row_number().over(w)).where("_weir_rn > 1").drop("_weir_rn")
+        return surplus(df, rule)
 
 
 def compare_schemas(expected: StructType, actual: StructType) -> dict[str, Any]:
@@ -357,7 +391,7 @@ class DistributionAnomalyEvaluator(Evaluator):
         meta: dict[str, Any] = {"column_name": rule.column, "current_stats": now}
         if now["count"] < rule.min_sample:
             return True, 0, meta | {"note": f"fewer than {rule.min_sample} values"}
-        if not before:
+        if not before or before.get("mean") is None:
             return True, 0, meta | {"baseline_established": True}
         gap = now["mean"] - before["mean"]
         z = gap / before["stddev"] if before.get("stddev") else (0.0 if gap == 0 else math.copysign(math.inf, gap))

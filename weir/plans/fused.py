@@ -1,7 +1,8 @@
 """Rule sets as few jobs: one scan, one grouping per key list, one anti join per reference.
 
 Rules are checked against the schema first; what cannot run gives a failed result and never reaches
-the plan. If the fused scan still fails, rules run one by one, so one bad rule costs one result.
+the plan. If the fused run still fails, whatever the error, rules run one by one, so one bad rule costs
+one result.
 """
 
 from __future__ import annotations
@@ -10,8 +11,7 @@ import time
 from collections.abc import Iterable
 from typing import Any
 
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.model import CheckResult, Rule
@@ -43,21 +43,31 @@ def checks(df: DataFrame, rules: Iterable[Rule], dataset: str = "", context: R.C
             done[i] = R.result(rule, dataset, True, 0, 0, {"reason": "disabled"}, f"SKIPPED_{kind}", skipped=True)
         elif evaluator is None:
             done[i] = R.result(rule, dataset, False, 0, 0, {"error": f"unknown rule type {kind}"}, f"UNKNOWN_{kind}", "warning")
-        elif problem := evaluator.problem(df, rule, context):
-            done[i] = R.result(rule, dataset, False, 0, 0, problem)
         else:
-            planned.append((i, rule, evaluator))
+            try:
+                problem = evaluator.problem(df, rule, context)
+            except Exception as e:  # noqa: BLE001 a rule's error is its result
+                done[i] = _error(rule, dataset, e)
+                continue
+            if problem:
+                done[i] = R.result(rule, dataset, False, 0, 0, problem)
+            else:
+                planned.append((i, rule, evaluator))
     try:
         done |= _run(df, planned, dataset, context, samples)
-    except PySparkException:
+    except Exception:  # noqa: BLE001
         for one in planned:
             try:
                 done |= _run(df, [one], dataset, context, samples)
-            except PySparkException as e:
-                done[one[0]] = R.result(one[1], dataset, False, 0, 0, {"error": str(e)[:500]}, f"ERROR_{type(one[1]).__name__}", "critical")
+            except Exception as e:  # noqa: BLE001
+                done[one[0]] = _error(one[1], dataset, e)
     return [done[i] for i in range(len(ordered))]
 
 
+def _error(rule: Rule, dataset: str, error: Exception) -> CheckResult:
+    return R.result(rule, dataset, False, 0, 0, {"error": f"{type(error).__name__}: {error}"[:500]}, f"ERROR_{type(rule).__name__}", "critical")
+
+
 def scan_plan(df: DataFrame, planned: list[tuple[int, Rule, R.Evaluator]], context: R.Context) -> DataFrame:
     """The fused aggregation: the row count and every rule's expressions."""
     parts = [F.count(F.lit(1)).alias("_total")]
@@ -98,18 +108,30 @@ def _run(df: DataFrame, planned: list[tuple[int, Rule, R.Evaluator]], dataset: s
     return found
 
 
-def violations_per_row(df: DataFrame, rules: Iterable[Rule], name: str = "violated_rules") -> DataFrame:
-    """``df`` with the ids of the row rules (null, list, number) that each row breaks, in one pass."""
-    marks = []
-    for rule in rules:
+def violations_per_row(df: DataFrame, rules: Iterable[Rule], name: str = "violated_rules", context: R.Context | None = None) -> DataFrame:
+    """``df`` with the ids of the row rules (null, list, number) that each row breaks, in one pass. A list
+    from a reference table, which the context must hold, or of many values is joined."""
+    context, columns = context or R.Context(), df.columns
+    marks: list[Column] = []
+    for i, rule in enumerate(rules):
         if type(rule) is R.NotNull:
             broken = R.column(rule.column).isNull()
-        elif type(rule) is R.AcceptedValues and rule.values:
-            broken = R._outside(rule)
+        elif type(rule) is R.AcceptedValues:
+            own = R.REGISTRY[R.AcceptedValues]
+            if problem := own.problem(df, rule, context):
+                raise ValueError(problem["error"])
+            if own.by_join(rule, context):
+                known, value = f"_weir_known{i}", R.column(rule.column).cast("string")
+                allowed = own.allowed(df, rule, context).select(F.col("_v").alias(known))
+                df = df.join(allowed, (value if rule.case_sensitive else F.lower(value)) == F.col(known), "left")
+                broken = value.isNotNull() & F.col(known).isNull()
+            else:
+                broken = R._outside(rule)
         elif type(rule) is R.PositiveNumeric:
             own = R.REGISTRY[R.PositiveNumeric]
             broken = own._low(df, rule) | R._is_nan(df, rule.column)
         else:
             raise ValueError(f"{type(rule).__name__} does not judge single rows")
         marks.append(F.when(F.coalesce(broken, F.lit(False)), F.lit(rule.rule_id)))
-    return df.withColumn(name, F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>"))
+    told = F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>")
+    return df.select(*[R.column(c) for c in columns], told.alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 from typing import Any
 
@@ -20,6 +20,7 @@ from weir.operators.metrics import MetricsStore
 from weir.operators.rules import Context
 from weir.plans import fused, rulesets
 from weir.sources import synth
+from weir.sources.paths import LAYERS
 from weir.sources.store import TableStore
 
 
@@ -68,7 +69,7 @@ class Engine:
 
 @dataclass(frozen=True)
 class PipelineConfig:
-    base_path: str
+    base_path: str | None = None
     format: str = "parquet"
     name: str = "medallion"
     rows: int = 10_000
@@ -80,11 +81,13 @@ class PipelineConfig:
     max_quarantine_pct: float = 10.0
     max_quarantine_records: int | None = None
     retention_versions: int = 10
+    observe: bool = True
+    metrics_retention_days: int | None = 90
     run_at: datetime | None = None
     custom_rules: dict[str, list[Rule]] = field(default_factory=dict)
 
     @classmethod
-    def for_testing(cls, base_path: str, **changes: Any) -> PipelineConfig:
+    def for_testing(cls, base_path: str | None = None, **changes: Any) -> PipelineConfig:
         return cls(**{"base_path": base_path, "rows": 1000, "max_quarantine_pct": 50.0, **changes})
 
 
@@ -107,7 +110,8 @@ def run_pipeline(spark: SparkSession, config: PipelineConfig, events: DataFrame
     def judged(layer: str, dataset: str, df: DataFrame, rules: list[Rule], **given: Any) -> list[CheckResult]:
         context = Context(historical_counts=metrics.row_counts(dataset, before_run=engine.run_id), historical_stats=metrics.statistics(dataset, before_run=engine.run_id), reference_time=at, **given)
         results = engine.validate(df, config.custom_rules.get(layer, rules), dataset, context)
-        metrics.write(results, engine.run_id, config.name, at)
+        if config.observe:
+            metrics.write(results, engine.run_id, config.name, at)
         if config.fail_on_critical and engine.critical_failures(results):
             raise CriticalFailure(", ".join(r.rule_id for r in engine.critical_failures(results)))
         return results
@@ -127,7 +131,9 @@ def run_pipeline(spark: SparkSession, config: PipelineConfig, events: DataFrame
     def run_silver() -> dict[str, Any]:
         source = store.read("bronze_raw_events")
         _, refused = medallion.split_silver(source)
-        orders = medallion.silver_orders(source, at)
+        # written once and read by every check and by the final write, instead of computed for each
+        store.write(medallion.silver_orders(source, at), "silver_staging", run_id=engine.run_id)
+        orders = store.read("silver_staging")
         results = judged("silver", "silver_orders", orders, rulesets.silver_rules() + (rulesets.strict_silver_rules() if config.strict else []))
         held = jail.quarantine(refused, "silver", engine.run_id, "bronze_raw_events", at=at)
         # repeated keys blame every row of a group; only surplus rows may leave, and the latest stays
@@ -158,8 +164,14 @@ def run_pipeline(spark: SparkSession, config: PipelineConfig, events: DataFrame
             if config.fail_on_critical:
                 raise
     if config.format != "delta":
-        for table in [t for t in schemas.CONTRACT_NAMES if store.exists(t)]:
-            store.vacuum(table, config.retention_versions)
+        for layer in LAYERS:
+            for table in store.tables(layer):
+                store.vacuum(table, config.retention_versions)
+        if store.exists("silver_staging"):
+            store.vacuum("silver_staging", 1)
+    if config.observe and config.metrics_retention_days is not None:
+        report["metrics_dropped"] = metrics.drop_before((at - timedelta(days=config.metrics_retention_days)).strftime("%Y-%m-%d"))
+    report["quarantine_left_out"], report["unwritten"] = jail.left_out, metrics.errors + jail.errors
     return report
 
 
@@ -174,6 +186,7 @@ def sql_observability(spark: SparkSession, store: TableStore) -> dict[str, tuple
             "orders_of_unknown_products": sqlchecks.referential_integrity_sql("silver_orders", "product_id", "silver_products", "product_id"),
             "order_id_unique": sqlchecks.uniqueness_sql("silver_orders", ["order_id"]),
             "order_status_known": sqlchecks.accepted_values_sql("silver_orders", "order_status", list(schemas.STATUSES)),
+            "orders_fresh": ("freshness", sqlchecks.freshness_sql("silver_orders", "ingestion_timestamp", 4.0)),
             "customer_id_there": ("not_null", sqlchecks.not_null_sql("silver_orders", "customer_id")),
         }
     found = sqlchecks.run_all_checks(spark, checks)

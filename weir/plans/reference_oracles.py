@@ -7,7 +7,7 @@ def _list(values: tuple[str, ...]) -> str:
     return ", ".join(f"'{v.lower()}'" for v in values)
 
 
-_MONEY = "CASE WHEN NOT isnan({c}) THEN TRY_CAST({c} AS DECIMAL(28, 2)) END"
+_MONEY = "CASE WHEN NOT isnan({c}) THEN TRY_CAST({c} AS DECIMAL(28, 8)) END"
 _AMOUNT, _PRICE = _MONEY.format(c="total_amount"), _MONEY.format(c="unit_price")
 _SUM = f"coalesce(CAST(sum({_AMOUNT}) AS DOUBLE), 0)"
 _MEAN = f"CAST(sum({_AMOUNT}) AS DOUBLE) / nullif(count({_AMOUNT}), 0)"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from weir.sources.paths import base_path, layer_paths
 
 #: The folder of one write; also keeps apart the partition columns of different writes.
 BATCH = "weir_batch"
@@ -19,8 +20,12 @@ BATCH = "weir_batch"
 class TableStore:
     """``format`` is the file format; ``delta`` passes reads and writes through to that source."""
 
-    def __init__(self, spark: SparkSession, root: str, format: str = "parquet") -> None:
-        self.spark, self.root, self.format = spark, root.rstrip("/"), format
+    def __init__(self, spark: SparkSession, root: str | None = None, format: str = "parquet") -> None:
+        self.spark, self.root, self.format = spark, base_path(root, spark), format
+
+    def tables(self, layer: str) -> dict[str, str]:
+        """Table -> path of the tables of a layer that exist."""
+        return {t: path for t, path in layer_paths(layer, self.root).items() if self.exists(t)}
 
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
@@ -75,7 +80,10 @@ class TableStore:
         return version
 
     def exists(self, table: str) -> bool:
-        return self.format == "delta" or bool(self.versions(table))
+        if self.format == "delta":
+            log = self._path(table, "_delta_log")
+            return self._fs(log).exists(log)
+        return bool(self.versions(table))
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """The latest or a given version; columns that a folder lacks are null."""

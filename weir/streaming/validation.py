@@ -39,12 +39,12 @@ def deduplicated(stream: DataFrame, keys: list[str], event_time: str, lateness:
 
 def windowed_sums(stream: DataFrame, event_time: str, lateness: str, window: str, groups: list[str], amount: str) -> DataFrame:
     """Sums and counts per event-time window and group; late rows correct a window until the watermark
-    has passed it."""
+    has passed it. An amount that 28 digits cannot hold counts as a record and in ``unfit_amounts``."""
     return (
         stream.withWatermark(event_time, lateness)
         .groupBy(F.window(event_time, window), *groups)
-        .agg(F.sum(F.col(amount).cast("decimal(28,2)")).alias("total_amount"), F.count(F.lit(1)).alias("record_count"))
-        .select(F.col("window.start").alias("window_start"), *groups, "total_amount", "record_count")
+        .agg(F.sum(F.col(amount).try_cast("decimal(28,2)")).alias("total_amount"), F.count(F.lit(1)).alias("record_count"), F.count_if(F.col(amount).isNotNull() & F.col(amount).try_cast("decimal(28,2)").isNull()).alias("unfit_amounts"))
+        .select(F.col("window.start").alias("window_start"), *groups, "total_amount", "record_count", "unfit_amounts")
     )
 
 
