@@ -1,5 +1,7 @@
 """The same results as ``core_problems`` in DuckDB's SQL, over the same whole tables."""
 
+from weir.operators.schema_fold import ALIKE_SHARE, CONTENT, CONTRACT, HINTS
+
 _FIRSTS = """
 firsts AS (
   SELECT * FROM (
@@ -31,6 +33,36 @@ valued AS (SELECT table_name, load_id, column_name, CASE WHEN trim(v) <> '' THEN
 _MASK = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '[0-9]', '9', 'g'), '[A-Z]+', 'A', 'g'), '[a-z]+', 'a', 'g'), '[^\x00-\x7F]+', 'u', 'g'), '\s+', ' ', 'g')"
 
 
+def _java(v: str) -> str:
+    """A double as Java writes it: with an exponent from 1e7 on and below 1e-3."""
+    t = f"CAST(abs({v}) AS VARCHAR)"
+    digits = f"rtrim(ltrim(replace({t}, '.', ''), '0'), '0')"
+    mantissa = f"left({digits}, 1) || '.' || CASE WHEN len({digits}) > 1 THEN substr({digits}, 2) ELSE '0' END"
+    exponent = f"CASE WHEN abs({v}) >= 1 THEN len(split_part({t}, '.', 1)) - 1 ELSE -(len(split_part({t}, '.', 2)) - len(ltrim(split_part({t}, '.', 2), '0')) + 1) END"
+    far = f"CASE WHEN contains({t}, 'e') THEN CASE WHEN contains({t}, '.') THEN split_part({t}, 'e', 1) ELSE split_part({t}, 'e', 1) || '.0' END || 'E' || CAST(CAST(split_part({t}, 'e', 2) AS INTEGER) AS VARCHAR) ELSE {mantissa} || 'E' || CAST({exponent} AS VARCHAR) END"
+    return f"CASE WHEN isnan({v}) THEN NULL WHEN {v} <> 0 AND (abs({v}) >= 1e7 OR abs({v}) < 1e-3) THEN CASE WHEN {v} < 0 THEN '-' ELSE '' END || {far} ELSE CAST({v} AS VARCHAR) END"
+
+
+# The columns of the profiled tables by kind.
+_KINDS = {
+    "silver_orders": {"text": "order_id customer_id product_id order_status currency", "whole": "quantity", "double": "unit_price total_amount", "time": "order_timestamp order_date ingestion_timestamp"},
+    "metrics": {"text": "dataset_name layer rule_name rule_version metric_name severity pipeline_name metadata_json", "whole": "total_records failed_records", "double": "metric_value", "time": "run_timestamp", "flag": "passed"},
+}
+_LOAD = {"silver_orders": "source_file", "metrics": "run_id"}
+
+
+def _all_cells() -> str:
+    """(table_name, load_id, column_name, v, number) of every column; v is null for rows without value."""
+    parts = []
+    for table, kinds in _KINDS.items():
+        for kind, names in kinds.items():
+            for c in names.split():
+                text = {"text": f"CASE WHEN trim({c}) <> '' THEN {c} END", "double": _java(c)}.get(kind, f"CAST({c} AS VARCHAR)")
+                number = {"whole": f"CAST({c} AS DOUBLE)", "double": f"CASE WHEN NOT isnan({c}) THEN {c} END", "time": f"CAST(epoch_us(CAST({c} AS TIMESTAMP)) AS DOUBLE)"}.get(kind, "CAST(NULL AS DOUBLE)")
+                parts.append(f"SELECT '{table}' AS table_name, {_LOAD[table]} AS load_id, '{c}' AS column_name, {text} AS v, {number} AS number FROM {table} WHERE trim({_LOAD[table]}) <> ''")
+    return "valued AS (" + " UNION ALL ".join(parts) + ")"
+
+
 def _shift(by: str) -> str:
     return f"""
 counts AS (SELECT table_name, load_id, column_name, {by} AS v, count(*) AS n FROM valued WHERE v IS NOT NULL GROUP BY ALL),
@@ -62,7 +94,104 @@ dated AS (
 ),
 judged AS (SELECT *, CASE WHEN first_at IS NULL THEN 'missing' WHEN first_at > at_ts THEN 'late' WHEN change_kind = 'deleted' THEN 'deleted' END AS key_state FROM dated)"""
 
+def _layouts() -> str:
+    """The files of raw_order_files as cells, facts and resolved fields. Names that neither content nor
+    wording tells, which the operator compares with the file before, stand for themselves."""
+    seps = [",", ";", "|", "\t"]
+    n = [f"(len(h) - len(replace(h, '{x}', '')))" for x in seps]
+    sep = f"CASE WHEN {n[0]} >= greatest({n[1]}, {n[2]}, {n[3]}) THEN ',' WHEN {n[1]} >= greatest({n[2]}, {n[3]}) THEN ';' WHEN {n[2]} >= {n[3]} THEN '|' ELSE '\t' END"
+
+    def split(line: str) -> str:
+        def cells(x: str) -> str:
+            of = "\\|" if x == "|" else x
+            part = f"regexp_extract_all('{x}' || {line}, '{of}(\"(?:[^\"]|\"\")*\"|[^{of}]*)', 1)"
+            return f"CASE WHEN contains({line}, '\"') THEN list_transform({part}, lambda c: CASE WHEN len(c) > 1 AND starts_with(c, '\"') AND ends_with(c, '\"') THEN replace(c[2:-2], '\"\"', '\"') ELSE c END) ELSE string_split({line}, '{x}') END"
+
+        return "CASE sep " + " ".join(f"WHEN '{x}' THEN {cells(x)}" for x in seps) + " END"
+
+    like = {f: f"regexp_full_match(v, '(?i)({p})')" for f, p in CONTENT.items()}
+    own = ", ".join(f"'{f}'" for f in CONTRACT)
+    majority = {f: f"like_{f} > {ALIKE_SHARE} * value_count" for f in CONTENT}
+    anywhere = {f: f"all_{f} > {ALIKE_SHARE} * all_count" for f in CONTENT}
+    q, u = (f"regexp_matches(name, '{HINTS[f]}')" for f in ("quantity", "unit_price"))
+    told = " ".join(f"WHEN (({majority[f]}) OR (value_count = 0 AND {anywhere[f]})) AND NOT with_{f} THEN '{f}'" for f in CONTRACT if f not in HINTS)
+    weak = {f: f"(value_count = 0 OR greatest(numbers, like_{f}) > {ALIKE_SHARE} * value_count) AND NOT with_{f}" for f in HINTS}
+    return f"""
+lines AS (SELECT file_id, coalesce(feed, '') AS feed, file_seq, lower(trim(fmt)) AS fmt, line_no, min(raw_line) AS raw_line FROM raw_order_files WHERE file_id IS NOT NULL AND trim(raw_line) <> '' GROUP BY ALL),
+files AS (SELECT file_id, min(feed) AS feed, min(file_seq) AS file_seq FROM lines GROUP BY 1),
+turns AS (SELECT *, lag(file_id) OVER w AS last_file, row_number() OVER w = 1 AS is_first FROM files WINDOW w AS (PARTITION BY feed ORDER BY file_seq, file_id)),
+headers AS (SELECT file_id, h, {sep} AS sep FROM (SELECT file_id, raw_line AS h FROM lines WHERE fmt = 'csv' AND line_no = 1)),
+titled AS (SELECT file_id, sep, list_transform({split("h")}, lambda c: lower(trim(c))) AS names FROM headers),
+delimited AS (SELECT l.file_id, l.line_no, l.line_no = 1 AS header, t.names, {split("l.raw_line")} AS tokens FROM lines l JOIN titled t USING (file_id) WHERE l.fmt = 'csv'),
+csv_cells AS (SELECT file_id, line_no, names[i] AS name, CASE WHEN NOT header AND trim(tokens[i]) <> '' THEN tokens[i] END AS raw, NULL AS kind FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM delimited)),
+objects AS (SELECT file_id, line_no, CAST(raw_line AS JSON) AS j FROM lines WHERE fmt = 'json' AND json_valid(raw_line) AND json_type(raw_line) = 'OBJECT'),
+pairs AS (SELECT file_id, line_no, k, json_extract(j, '$."' || k || '"') AS e FROM (SELECT *, unnest(json_keys(j)) AS k FROM objects)),
+json_cells AS (
+  SELECT file_id, line_no, lower(trim(k)) AS name, CASE WHEN json_type(e) = 'DOUBLE' THEN regexp_replace(e ->> '$', '[.]0+$', '') ELSE e ->> '$' END AS raw,
+    CASE json_type(e) WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'decimal' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN NULL ELSE 'string' END AS kind
+  FROM pairs
+),
+cells AS (SELECT *, trim(raw) AS v FROM (SELECT * FROM csv_cells UNION ALL SELECT * FROM json_cells) WHERE name <> ''),
+classed AS (
+  SELECT *, CASE WHEN v IS NULL THEN NULL WHEN kind IS NOT NULL THEN kind WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN 'integer' WHEN regexp_full_match(v, '[+-]?([0-9]+[.][0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN 'decimal'
+    WHEN lower(v) IN ('true', 'false') THEN 'boolean' ELSE 'string' END AS class FROM cells
+),
+facts AS (
+  SELECT file_id, name, CASE WHEN count(class) = 0 THEN NULL WHEN count(DISTINCT class) = 1 THEN min(class) WHEN bool_and(class IN ('integer', 'decimal')) THEN 'decimal' ELSE 'string' END AS class, count(v) AS value_count,
+    count(TRY_CAST(v AS DOUBLE)) AS numbers, {", ".join(f"count(*) FILTER ({x}) AS like_{f}" for f, x in like.items())}
+  FROM classed GROUP BY ALL
+),
+held AS (SELECT t.feed, f.*, list(f.name) OVER (PARTITION BY f.file_id) AS beside FROM facts f JOIN turns t USING (file_id)),
+here AS (
+  SELECT feed, name, sum(value_count) AS value_count, sum(numbers) AS numbers, {", ".join(f"sum(like_{f}) AS like_{f}, bool_or(list_contains(beside, '{f}')) AS with_{f}" for f in CONTRACT)}
+  FROM held WHERE name NOT IN ({own}) GROUP BY ALL
+),
+anywhere AS (SELECT name, sum(value_count) AS all_count, {", ".join(f"sum(like_{f}) AS all_{f}" for f in CONTRACT)} FROM here GROUP BY 1),
+spoken AS (SELECT feed, name, CASE {told} WHEN {q} AND {weak["quantity"]} THEN 'quantity' WHEN {u} AND NOT {q} AND {weak["unit_price"]} THEN 'unit_price' ELSE name END AS field FROM here JOIN anywhere USING (name)),
+resolved AS (SELECT h.feed, h.file_id, h.name, coalesce(s.field, h.name) AS field, h.class FROM held h LEFT JOIN spoken s ON s.feed = h.feed AND s.name = h.name)"""
+
+
+def _join_class(c: str) -> str:
+    return f"CASE WHEN count({c}) = 0 THEN NULL WHEN count(DISTINCT {c}) = 1 THEN min({c}) WHEN bool_and({c} IN ('integer', 'decimal')) THEN 'decimal' ELSE 'string' END"
+
+
 ORACLES = {
+    "p5_found": f"""WITH {_layouts()},
+own AS (SELECT file_id, field, min(name) AS name, {_join_class("class")} AS class FROM resolved GROUP BY 1, 2),
+start AS (SELECT feed, unnest([{", ".join(f"'{f}'" for f in CONTRACT)}]) AS field, unnest([{", ".join(f"'{c}'" for c in CONTRACT.values())}]) AS class FROM (SELECT DISTINCT feed FROM turns)),
+chain AS (
+  SELECT feed, -1 AS file_seq, CAST(NULL AS BIGINT) AS file_id, field, field AS name, class FROM start
+  UNION ALL SELECT t.feed, t.file_seq, t.file_id, o.field, o.name, o.class FROM own o JOIN turns t USING (file_id)
+),
+kept AS (SELECT * EXCLUDE (class), last_value(class IGNORE NULLS) OVER (PARTITION BY feed, field ORDER BY file_seq, file_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS class FROM chain),
+sides AS (
+  SELECT t.file_id, coalesce(n.field, b.field) AS field, n.name AS now_name, n.class AS now_class, b.name AS was_name, b.class AS was_class
+  FROM turns t JOIN (SELECT DISTINCT feed, field FROM kept) f ON f.feed = t.feed
+  LEFT JOIN kept n ON n.file_id = t.file_id AND n.field = f.field
+  LEFT JOIN kept b ON b.feed = t.feed AND b.field = f.field AND (CASE WHEN t.is_first THEN b.file_id IS NULL ELSE b.file_id = t.last_file END)
+)
+SELECT file_id, field AS field_name, 'added' AS change_kind FROM sides WHERE now_name IS NOT NULL AND was_name IS NULL
+UNION ALL SELECT file_id, field, 'removed' FROM sides WHERE now_name IS NULL AND was_name IS NOT NULL
+UNION ALL SELECT file_id, field, 'renamed' FROM sides WHERE now_name <> was_name
+UNION ALL SELECT file_id, field, 'retyped' FROM sides WHERE now_class <> was_class""",
+    "p5_values": f"""WITH {_layouts()},
+kinds AS (SELECT field, coalesce({_join_class("class")}, 'string') AS class FROM resolved GROUP BY 1),
+placed AS (SELECT c.file_id, c.line_no, r.field, arg_min(c.raw, c.name) AS raw FROM cells c JOIN resolved r ON r.file_id = c.file_id AND r.name = c.name WHERE c.v IS NOT NULL GROUP BY ALL)
+SELECT file_id, line_no, field AS field_name, CASE class WHEN 'integer' THEN CAST(TRY_CAST(trim(raw) AS BIGINT) AS VARCHAR) WHEN 'decimal' THEN CAST(TRY_CAST(trim(raw) AS DECIMAL(38, 10)) AS VARCHAR) WHEN 'boolean' THEN lower(trim(raw)) ELSE raw END AS value
+FROM placed JOIN kinds USING (field)""",
+    "p2_profile": f"""WITH {_all_cells()},
+vals AS (SELECT table_name, load_id, column_name, v, {_MASK} AS mask, count(*) AS n, min(number) AS low, max(number) AS high FROM valued GROUP BY ALL),
+masks AS (
+  SELECT table_name, load_id, column_name, mask, sum(n) AS n, count(v) AS d, min(low) AS low, max(high) AS high, min(len(v)) AS short, max(len(v)) AS long, min(v) FILTER (low IS NULL) AS first, max(v) FILTER (low IS NULL) AS last
+  FROM vals GROUP BY ALL
+)
+SELECT table_name, load_id, column_name, CAST(sum(n) AS BIGINT) AS row_count, CAST(coalesce(sum(n) FILTER (mask IS NULL), 0) AS BIGINT) AS null_count, CAST(sum(d) AS BIGINT) AS distinct_values,
+  min(low) AS min_number, max(high) AS max_number, CAST(min(short) AS INTEGER) AS min_length, CAST(max(long) AS INTEGER) AS max_length, min(first) AS min_text, max(last) AS max_text, count(mask) AS mask_count,
+  arg_max(mask, (n, mask)) FILTER (mask IS NOT NULL) AS dominant_mask, CAST(max(n) FILTER (mask IS NOT NULL) AS BIGINT) AS dominant_count
+FROM masks GROUP BY ALL""",
+    "p2_mask_shift": f"""WITH {_LOADS}, {_all_cells()}, {_shift(_MASK)} SELECT table_name, column_name, load_id, round(d, 9) AS divergence FROM divergence""",
+    "p2_rare_masks_all": f"""WITH {_all_cells()}, masks AS (SELECT table_name, column_name, load_id, {_MASK} AS mask, count(*) AS n FROM valued WHERE v IS NOT NULL GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY table_name, column_name, load_id) AS BIGINT) AS value_count FROM masks) WHERE n / value_count < 0.05""",
     "p1_found": f"""WITH {_FIRSTS}
 SELECT order_id, strftime(e, '%Y-%m-%d') AS order_day, CASE WHEN a - e > INTERVAL 72 HOURS THEN 'cut_off' ELSE 'corrects' END AS outcome
 FROM firsts WHERE CAST(a AS DATE) > CAST(e AS DATE)""",

@@ -137,4 +137,12 @@ def p5_records(spark: SparkSession, folder: str) -> DataFrame:
     return schema_fold.read_consistent(read_table(spark, folder, "raw_order_files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_revenue, p2_found, p2_profile, p2_mask_shift, p2_rare_masks, p2_rare_masks_all, p4_found, p4_daily, p4_ledger, p5_found, p5_records)}
+def p5_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The values of ``p5_records``, one row each, as text; its columns depend on what the files hold."""
+    records = p5_records(spark, folder)
+    fields = [c for c in records.columns if c not in ("file_id", "line_no", "unfit_fields")]
+    cells = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields])
+    return records.select("file_id", "line_no", F.explode(cells).alias("_c")).select("file_id", "line_no", "_c.field_name", "_c.value").where("value is not null")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_revenue, p2_found, p2_profile, p2_mask_shift, p2_rare_masks, p2_rare_masks_all, p4_found, p4_daily, p4_ledger, p5_found, p5_records, p5_values)}
