@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from weir.schemas import STATUSES, schema
 
 PRODUCTS, CUSTOMERS = 20, 500
-# Value and its share of rows, in percent.
+# Chosen here: value and its share of rows, in percent.
 STATUS_SHARES = dict(zip(STATUSES, (10, 15, 20, 40, 7, 5, 3), strict=True))
 CURRENCY_SHARES = {"USD": 60, "EUR": 20, "GBP": 10, "INR": 5, "CAD": 5}
 
 
 def draw(salt: str, *keys: Column | str) -> Column:
-    """A number in [0, 1) that depends on the keys and the salt alone."""
-    return F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    """A number in [0, 1) that depends on the keys and the salt alone: 28 bits of their MD5."""
+    text = F.concat_ws(":", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys], F.lit(salt))
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("double") / float(1 << 28)
 
 
 def choose(u: Column, shares: dict[str, float]) -> Column:
@@ -30,6 +31,11 @@ def choose(u: Column, shares: dict[str, float]) -> Column:
     return reduce(lambda rest, step: F.when(u < step[1], F.lit(step[0])).otherwise(rest), reversed(steps[:-1]), F.lit(steps[-1][0]))
 
 
+def quantity(u: Column, v: Column) -> Column:
+    """Mostly one to three; one in twenty orders from four to ten, evenly."""
+    return choose(u, {"1": 60, "2": 25, "3": 10, "0": 5}).cast("int") + F.when(u >= 0.95, F.floor(v * 7).cast("int") + 4).otherwise(0)
+
+
 def list_price(product: Column) -> Column:
     """Prices from 9.99 to 399.99, spread evenly over the products."""
     return F.round(9.99 + (product - 1) * (390.0 / (PRODUCTS - 1)), 2)
@@ -60,7 +66,7 @@ def clean_events(spark: SparkSession, rows: int, seed: int = 42, start: str = "2
             F.format_string("CUST-%04d", (F.floor(F.pow(u("customer"), 3.0) * CUSTOMERS) + 1).cast("int")).alias("customer_id"),
             F.format_string("PROD-%03d", "_p").alias("product_id"),
             choose(u("status"), STATUS_SHARES).alias("order_status"),
-            choose(u("size"), {"1": 60, "2": 25, "3": 10, "7": 5}).cast("int").alias("quantity"),
+            quantity(u("size"), u("many")).alias("quantity"),
             F.round(list_price(F.col("_p")) * (0.9 + 0.2 * u("price")), 2).alias("unit_price"),
             choose(u("currency"), CURRENCY_SHARES).alias("currency"),
             F.date_format(F.expr(f"timestamp_ntz'{start} 00:00:00'") + F.make_dt_interval(secs=F.floor(u("time") * F.expr(span))), "yyyy-MM-dd HH:mm:ss").alias("order_timestamp"),
