@@ -80,10 +80,10 @@ def _variant_text(value: Column) -> Column:
     return F.call_function("try_variant_get", value, F.lit("$"), F.lit("string"))
 
 
-def _variant_bit(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
+def _variant_bit(kind: Column) -> Column:
+    """The class of a JSON value by the name of its type."""
     return (
-        F.when(kind == "VOID", F.lit(None).cast("int"))
+        F.when(kind.isNull() | (kind == "VOID"), F.lit(None).cast("int"))
         .when(kind == "STRING", BITS["string"])
         .when(kind == "BIGINT", BITS["integer"])
         .when(kind == "BOOLEAN", BITS["boolean"])
@@ -125,27 +125,32 @@ _PLACE = "\x01"
 def _cells(lines: DataFrame) -> DataFrame:
     """(file_id, place, text, bit, header, own): every cell. ``header`` is the name that a header gives to
     the place, ``own`` whether its separator is the file's; ``bit`` is the class of JSON values."""
-    line, is_header = F.col("raw_line"), F.col("line_no") == 1
-    none = F.array().cast("array<struct<place:string,text:string,bit:int,header:string,own:boolean>>")
+    line, is_header, csv = F.col("raw_line"), F.col("line_no") == 1, F.col("fmt") == "csv"
     single = ~F.rlike(line, F.lit("[" + "".join(map(re.escape, SEPARATORS)) + "]"))
-
-    def cell(i: int, sep: str):
-        def build(c: Column, at: Column) -> Column:
-            text = F.trim(c)
-            return F.struct(
-                F.concat(F.lit(f"{_PLACE}{i}{_PLACE}"), at.cast("string")).alias("place"),
-                F.when(~is_header & (text != ""), text).alias("text"),
-                F.lit(None).cast("int").alias("bit"),
-                F.when(is_header, normal_name(c)).alias("header"),
-                F.when(is_header, F.col("_sep") == sep).alias("own"),
-            )
-
-        return build
-
-    parts = [F.when((F.col("fmt") == "csv") & (F.contains(line, F.lit(sep)) | single), F.transform(_split(line, sep), cell(i, sep))).otherwise(none) for i, sep in enumerate(SEPARATORS)]
-    pair = F.transform(_objects(line), lambda e: F.struct(normal_name(e["key"]).alias("place"), F.trim(_variant_text(e["value"])).alias("text"), _variant_bit(e["value"]).alias("bit"), F.lit(None).cast("string").alias("header"), F.lit(None).cast("boolean").alias("own")))
-    parts.append(F.coalesce(F.when(F.col("fmt") == "json", pair), none))
-    return _lines(lines).withColumn("_sep", F.when(is_header & (F.col("fmt") == "csv"), _separator(line))).select("file_id", F.explode(F.concat(*parts)).alias("_c")).select("file_id", "_c.*")
+    no_cells, no_pairs = F.lit(None).cast("array<string>"), F.lit(None).cast("array<struct<key:string,value:variant>>")
+    splits = [F.when(csv & (F.contains(line, F.lit(sep)) | single), F.struct(F.lit(i).alias("i"), _split(line, sep).alias("cells"), no_pairs.alias("pairs"))) for i, sep in enumerate(SEPARATORS)]
+    objects = F.when(F.col("fmt") == "json", F.struct(F.lit(-1).alias("i"), no_cells.alias("cells"), _objects(line).alias("pairs")))
+    # small generators, whose rows are then worked on in compiled code
+    taken = (
+        _lines(lines)
+        .select("file_id", is_header.alias("_header"), F.when(is_header & csv, _separator(line)).alias("_sep"), F.explode(F.array_compact(F.array(*splits, objects))).alias("_g"))
+        .select("file_id", "_header", "_sep", "_g.i", "_g.pairs", F.posexplode_outer("_g.cells").alias("_at", "_cell"))
+        .select("file_id", "_header", "_sep", "i", "_at", "_cell", F.explode_outer("pairs").alias("_pair"))
+        .where("_cell is not null or _pair is not null")
+        .select("*", F.trim(F.coalesce("_cell", _variant_text(F.col("_pair.value")))).alias("_text"), F.schema_of_variant("_pair.value").alias("_kind"))
+    )
+    delimited, title = F.col("i") >= 0, (F.col("i") >= 0) & F.col("_header")
+    own = F.lit(None).cast("boolean")
+    for i, sep in enumerate(SEPARATORS):
+        own = F.when(title & (F.col("i") == i), F.col("_sep") == sep).otherwise(own)
+    return taken.select(
+        "file_id",
+        F.when(delimited, F.concat(F.lit(_PLACE), F.col("i").cast("string"), F.lit(_PLACE), F.col("_at").cast("string"))).otherwise(normal_name(F.col("_pair.key"))).alias("place"),
+        F.when(~title & (~delimited | (F.col("_text") != "")), F.col("_text")).alias("text"),
+        F.when(~delimited, _variant_bit(F.col("_kind"))).alias("bit"),
+        F.when(title, normal_name(F.col("_cell"))).alias("header"),
+        own.alias("own"),
+    )
 
 
 def _shape(text: Column) -> Column:
@@ -163,12 +168,13 @@ def file_names(lines: DataFrame) -> DataFrame:
     JSON values in objects or arrays are texts of the top-level name. Blank lines, rows with a null file
     or line, and what is no JSON object give nothing.
     """
-    size = F.col("text").try_cast("double")
+    # texts that are no numbers are kept from the cast, which fails slowly
+    size = F.when(F.rlike(F.col("text"), F.lit(r"\A[+-]?[0-9]{0,15}[.]?[0-9]{1,15}\z")), F.col("text").try_cast("double"))
     shapes = (
         _cells(lines)
-        .withColumns({"_shape": _shape(F.col("text")), "_size": F.when(F.length("text") < 20, F.log1p(F.abs(size)))})
-        .groupBy("file_id", "place", "bit", "_shape")
-        .agg(F.count("text").alias("n"), F.min("header").alias("header"), F.max("own").alias("own"), F.count("_size").alias("numbers"), F.sum("_size").alias("magnitude"))
+        .withColumns({"_shape": _shape(F.col("text")), "_size": F.log1p(F.abs(size))})
+        .groupBy("file_id", "place", "bit", "_shape", "header")  # counted by hash: a least header would be by sort
+        .agg(F.count("text").alias("n"), F.max("own").alias("own"), F.count("_size").alias("numbers"), F.sum("_size").alias("magnitude"))
     )
     likes = [F.sum(F.when(F.regexp_like("_shape", F.lit(rf"(?i)\A({p})\z")), F.col("n")).otherwise(0)).alias(f"like_{f}") for f, p in CONTENT.items()]
     sums = [f"like_{f}" for f in CONTENT] + ["value_count", "numbers", "points", "magnitude"]
