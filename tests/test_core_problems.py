@@ -1,5 +1,6 @@
 """Problems 1, 2, 4 and 5: brute force, edge cases, skew."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -13,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from weir.functions.masks import number_mask, value_mask
 from weir.operators import late_events, orphans, profile, schema_fold
 from weir.operators.finger_tree import LATE, REFUSED, TAKEN, FingerBTree
 
@@ -220,6 +222,11 @@ def test_table_profile(spark):
     assert profile.mask_histogram(df.limit(0), F.col("load"), ["i"]).count() == 0
 
 
+def test_masks_of_numbers_are_those_of_their_text(spark):
+    df = spark.createDataFrame([(v,) for v in (0.0, -0.0, 1.5, -2e-9, 1e300, 12345678.9, math.inf, -math.inf, None)], "v double").select(F.col("v").cast("string").alias("t"))
+    assert df.where(~number_mask(F.col("t")).eqNullSafe(value_mask(F.col("t")))).count() == 0
+
+
 def test_masks_of_odd_values(spark):
     masks = profile.value_histogram(spark.createDataFrame([("l", v) for v in ("Ab-12", "ÄÖ x\t\ty", "a" * 100_000, "  ")], "load string, c string"), F.col("load"), ["c"])
     assert {r["mask"] for r in masks.collect()} == {"Aa-99", "u a a", "a", None}

@@ -21,11 +21,21 @@ _LAST = 0x10FFFF
 def value_mask(text: Column) -> Column:
     """Digits one by one as 9; runs of upper case as A, of lower case as a, of anything beyond ASCII
     as u, of white space as one space; other characters stay. Null stays null, empty stays empty."""
-    for pattern, sign in CLASSES:
+    text = F.translate(text, "0123456789", "9" * 10)
+    for pattern, sign in CLASSES[1:]:
         text = F.regexp_replace(text, pattern, sign)
     return text
 
 
+def number_mask(text: Column) -> Column:
+    """``value_mask`` of a number's text: digits, a point, a sign and an exponent, or an infinity."""
+    return F.when(text.endswith("y"), value_mask(text)).otherwise(F.translate(text, "0123456789E", "9" * 10 + "A"))
+
+
+#: Characters up to which the classes of a pattern are translated at once; larger ones are replaced.
+SMALL_CLASS = 256
+
+
 def _sets(parsed) -> list[list[tuple[int, int]]] | None:
     """The sets of characters that a parsed pattern tells apart; None if it does more than that."""
     found: list[list[tuple[int, int]]] = []
@@ -59,9 +69,9 @@ def _sets(parsed) -> list[list[tuple[int, int]]] | None:
     return found
 
 
-def pattern_classes(pattern: str | None) -> list[tuple[str, str]] | None:
-    """(regular expression of a class, the sign that stands for it): the characters that ``pattern``
-    cannot tell apart. None if it may tell any two apart (back references, flags, other syntaxes)."""
+def pattern_classes(pattern: str | None) -> list[tuple[list[tuple[int, int]], str]] | None:
+    """(ranges of code points, the sign that stands for them): the characters that ``pattern`` cannot
+    tell apart. None if it may tell any two apart (back references, flags, other syntaxes)."""
     if not pattern or _regex is None:
         return None
     try:
@@ -79,8 +89,7 @@ def pattern_classes(pattern: str | None) -> list[tuple[str, str]] | None:
     out = []
     for ranges in classes.values():
         if len(ranges) > 1 or ranges[0][0] < ranges[0][1]:
-            sign = next((c for c in "9aAu#?~" if any(a <= ord(c) <= b for a, b in ranges)), None) or chr(ranges[0][0])
-            out.append(("[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]", sign))
+            out.append((ranges, next((c for c in "9aAu#?~" if any(a <= ord(c) <= b for a, b in ranges)), None) or chr(ranges[0][0])))
     return out
 
 
@@ -90,6 +99,12 @@ def pattern_mask(text: Column, pattern: str | None) -> Column:
     may tell any characters apart; without pattern the mask is ``value_mask``."""
     if not pattern:
         return value_mask(text)
-    for of, sign in pattern_classes(pattern) or []:
-        text = F.regexp_replace(text, of, "\\" + sign if sign in "\\$" else sign)
-    return text
+    found, signs = "", ""
+    for ranges, sign in pattern_classes(pattern) or []:
+        if sum(b - a + 1 for a, b in ranges) <= SMALL_CLASS:
+            own = "".join(chr(x) for a, b in ranges for x in range(a, b + 1))
+            found, signs = found + own, signs + sign * len(own)
+        else:
+            of = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+            text = F.regexp_replace(text, of, "\\" + sign if sign in "\\$" else sign)
+    return F.translate(text, found, signs) if found else text

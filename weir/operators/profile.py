@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, FloatType, NumericType, TimestampNTZType, TimestampType
 
 from weir.functions.blank import is_blank
-from weir.functions.masks import pattern_mask, value_mask
+from weir.functions.masks import number_mask, pattern_mask, value_mask
 from weir.operators.rules import as_utc
 from weir.sources.session import cut
 
@@ -164,7 +164,8 @@ def mask_counts(df: DataFrame, load: Column, columns: list[str], specs: Iterable
         if spec is not None:
             low, high = _bound(spec, "min_value"), _bound(spec, "max_value")
             off = (number < F.lit(low) if low is not None else off) | (number > F.lit(high) if high is not None else off)
-        mask = pattern_mask(text, spec["value_pattern"] if spec is not None else None)
+        pattern = spec["value_pattern"] if spec is not None else None
+        mask = number_mask(text) if not pattern and isinstance(df.schema[c].dataType, NumericType) else pattern_mask(text, pattern)
         cells.append(F.struct(F.lit(c).alias("column_name"), mask.alias("mask"), F.coalesce(off, F.lit(False)).alias("off")))
     return (
         df.select(load.alias("load_id"), F.explode(F.array(*cells)).alias("_c"))
