@@ -56,11 +56,6 @@ def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets")
 
 
-def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    documents, targets = _mix(spark, folder)
-    return mixing.placed_shortfalls(documents, targets, "doc_id", "source", mixing.utf8_tokens(F.col("text")))
-
-
 def p7_plan(spark: SparkSession, folder: str) -> DataFrame:
     """What every source of every mix is asked for and can give."""
     documents, targets = _mix(spark, folder)
@@ -72,11 +67,20 @@ def p7_plan(spark: SparkSession, folder: str) -> DataFrame:
 DRIFT = 0.5
 
 
+def _drift() -> Column:
+    return F.when(F.col("share_permille") < 100, F.lit(DRIFT)).otherwise(F.lit(-DRIFT) * F.col("share_permille") / 1000)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources whose placed copies are used up before the training of ``p7_mix`` ends."""
+    documents, targets = _mix(spark, folder)
+    return mixing.placed_shortfalls(documents, targets, "doc_id", "source", mixing.utf8_tokens(F.col("text")), _drift())
+
+
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Every copy of every mix with its training position, in order."""
     documents, targets = _mix(spark, folder)
-    drift = F.when(F.col("share_permille") < 100, F.lit(DRIFT)).otherwise(F.lit(-DRIFT) * F.col("share_permille") / 1000)
-    mix = mixing.curriculum(documents, targets, "doc_id", "source", mixing.utf8_tokens(F.col("text")), drift)
+    mix = mixing.curriculum(documents, targets, "doc_id", "source", mixing.utf8_tokens(F.col("text")), _drift())
     return mix.withColumn("position", F.round("position", 9))
 
 

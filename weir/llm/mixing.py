@@ -14,6 +14,9 @@ a bucket, so a source that holds a third of all rows is spread over the buckets.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,9 @@ from pyspark.sql import functions as F
 #: a bucket of the largest source is what one task sorts.
 BUCKET_DIGITS = 3
 
+#: The columns of a target; one mix may name a source twice.
+TARGET = ["mix_id", "source", "share_permille", "max_repeats", "budget_percent"]
+
 
 def normal_source(source: Column) -> Column:
     return F.lower(F.trim(source))
@@ -87,11 +93,14 @@ def token_offsets(documents: DataFrame, doc_id: str, source: str, tokens: Column
 
 
 def placed_shortfalls(documents: DataFrame, targets: DataFrame, doc_id: str, source: str, tokens: Column, drift: Column | None = None) -> DataFrame:
-    """``shortfalls`` from the placed documents: the time at which the training reaches the end of the
-    last copy of a source's last document on its token axis."""
-    ends = token_offsets(documents, doc_id, source, tokens).groupBy("source").agg(F.max(F.col("begin") + F.col("tokens")).alias("_end"))
-    plan = demand(targets, supply(documents, source, tokens)).join(ends, "source", "left")
-    return shortfalls(plan, drift, F.col("max_repeats").cast("double") * F.coalesce("_end", F.lit(0)).cast("double") * 100_000)
+    """``shortfalls`` from the sorted curriculum: a source all of whose copies are placed is used up
+    where the last of them, in the order of training, ends on its token axis."""
+    plan = demand(targets, supply(documents, source, tokens))
+    steps = _in_order(_copies(plan.distinct(), documents, targets, doc_id, source, tokens, drift), doc_id).withColumn("_step", F.monotonically_increasing_id())
+    placed = steps.groupBy(*TARGET).agg(F.max_by("_end", "_step").alias("_last"), F.sum("tokens").alias("_taken")).withColumnsRenamed({c: f"_{c}" for c in TARGET})
+    ends = plan.join(placed, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TARGET]), "left")
+    used_up = F.coalesce("_taken", F.lit(0)).cast("decimal(20,0)") * F.lit(100_000) >= F.col("ceiling_x")
+    return shortfalls(ends, drift, F.when(used_up, F.coalesce("_last", F.lit(0)).cast("double") * 100_000))
 
 
 def invert_linear(fraction: Column, drift: Column) -> Column:
@@ -111,13 +120,24 @@ def curriculum(documents: DataFrame, targets: DataFrame, doc_id: str, source: st
     source of too few documents ends at its ``exhausted_at``. ``drift`` is an expression over the columns of the plan (see
     ``invert_linear``). Documents without text have no tokens and are taken with their neighbours.
     """
-    drift = F.lit(0.0) if drift is None else drift
-    plan = demand(targets, supply(documents, source, tokens)).where("tokens > 0 and given > 0").withColumn("drift", drift).select("mix_id", "source", F.col("tokens").alias("_supply"), "given", (F.col("wanted_x").cast("double") / 100_000).alias("_wanted"), "drift", "max_repeats")
+    plan = demand(targets, supply(documents, source, tokens))
+    placed = _copies(plan, documents, targets, doc_id, source, tokens, drift)
+    return _in_order(placed.select("mix_id", "source", doc_id, "copy_no", "tokens", "position"), doc_id)
+
+
+def _in_order(copies: DataFrame, doc_id: str) -> DataFrame:
+    return copies.orderBy("mix_id", "position", "source", doc_id, "copy_no")
+
+
+def _copies(plan: DataFrame, documents: DataFrame, targets: DataFrame, doc_id: str, source: str, tokens: Column, drift: Column | None) -> DataFrame:
+    """The copies of ``curriculum`` with the columns of their target and ``_end``, where they end on the
+    token axis of all passes."""
+    plan = plan.where("tokens > 0 and given > 0").withColumn("drift", F.lit(0.0) if drift is None else drift).select(*TARGET, F.col("tokens").alias("_supply"), "given", (F.col("wanted_x").cast("double") / 100_000).alias("_wanted"), "drift")
     placed = token_offsets(documents, doc_id, source, tokens).join(F.broadcast(plan), "source") if _few(targets) else token_offsets(documents, doc_id, source, tokens).join(plan, "source")
     copies = placed.withColumn("_n", F.least(F.col("max_repeats").cast("bigint"), F.ceil((F.col("given") - F.col("begin")) / F.col("_supply")))).where("_n > 0")
-    at = copies.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("copy_no"))
-    middle = (F.col("begin") + (F.col("copy_no") - 1) * F.col("_supply") + F.col("tokens") / 2) / F.col("_wanted")
-    return at.select("mix_id", "source", doc_id, "copy_no", "tokens", invert_linear(F.least(middle, F.lit(1.0)), F.col("drift")).alias("position")).orderBy("mix_id", "position", "source", doc_id, "copy_no")
+    at = copies.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("copy_no")).withColumn("_begin", F.col("begin") + (F.col("copy_no") - 1) * F.col("_supply"))
+    middle = (F.col("_begin") + F.col("tokens") / 2) / F.col("_wanted")
+    return at.select(*TARGET, doc_id, "copy_no", "tokens", (F.col("_begin") + F.col("tokens")).alias("_end"), invert_linear(F.least(middle, F.lit(1.0)), F.col("drift")).alias("position"))
 
 
 #: Target rows up to which the plan (one row each) is broadcast; beyond, it is joined by shuffle.
