@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from datetime import datetime, timezone
 from typing import Any
 
@@ -230,7 +231,19 @@ def keep_order(df: DataFrame, rule: Duplicates) -> list[Column]:
     if rule.order_by:
         first = [column(rule.order_by).desc_nulls_last() if rule.keep == "last" else column(rule.order_by).asc_nulls_last()]
     rest = [F.to_json(column(f.name)) if f.dataType.typeName() == "map" else column(f.name) for f in df.schema.fields if f.dataType.typeName() != "variant"]
-    return first + [c.asc_nulls_last() for c in rest]
+    return first + [c.asc_nulls_last() for c in (*rest, *_zero_signs(df).values())]
+
+
+def _zero_signs(df: DataFrame) -> dict[str, Column]:
+    """Per column of floating numbers what tells -0.0 from 0.0, which compare and group as one value."""
+    signs = {}
+    for f in df.schema.fields:
+        c = column(f.name)
+        if f.dataType.typeName() in ("double", "float"):
+            signs[f.name] = F.when(c == 0, c.cast("string") == "-0.0").otherwise(False)
+        elif f.dataType.typeName() in ("array", "struct") and re.search('"(double|float)"', f.dataType.json()):
+            signs[f.name] = c.cast("string")
+    return signs
 
 
 def deduplicate(df: DataFrame, rule: Duplicates) -> DataFrame:
@@ -243,15 +256,17 @@ def surplus(df: DataFrame, rule: Duplicates) -> DataFrame:
     """The rows that ``deduplicate`` leaves out, each as often as it is surplus.
 
     Like rows are counted first, the kept row of each key is found by aggregation, and the two meet in a
-    join, so a key that a third of all rows share (null keys are one) is never sorted in one task. Tables
+    join, so a key that a third of all rows share (null keys are one) is never sorted in one task. Grouping
+    makes -0.0 to 0.0; the values come back as they were, and of such rows 0.0 is kept. Tables
     with maps or variants, which cannot be grouped, are ranked by window.
     """
     if any(f.dataType.typeName() in ("map", "variant") for f in df.schema.fields):
         w = Window.partitionBy(*[column(c) for c in rule.key_columns]).orderBy(*keep_order(df, rule))
         return df.withColumn("_weir_rn", F.row_number().over(w)).where("_weir_rn > 1").drop("_weir_rn")
     keys = {f"_weir_k{i}": column(c) for i, c in enumerate(rule.key_columns)}
-    counted = df.groupBy(*[column(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_weir_n"))
-    rest = F.struct(*[x for c in df.columns for x in (column(c).isNull(), column(c))])  # nulls last
+    signs = {c: (f"_weir_z{i}", f"_weir_v{i}", sign) for i, (c, sign) in enumerate(_zero_signs(df).items())}
+    counted = df.groupBy(*[column(c) for c in df.columns], *[sign.alias(z) for z, _, sign in signs.values()]).agg(F.count(F.lit(1)).alias("_weir_n"), *[F.first(column(c)).alias(v) for c, (_, v, _) in signs.items()])
+    rest = F.struct(*[x for c in (*map(column, df.columns), *[F.col(z) for z, _, _ in signs.values()]) for x in (c.isNull(), c)])  # nulls last
 
     def meet(side: DataFrame) -> DataFrame:
         on = None
@@ -267,7 +282,7 @@ def surplus(df: DataFrame, rule: Duplicates) -> DataFrame:
         best = meet(tops).where(order.eqNullSafe(F.col("_weir_top")))
     kept = best.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.min(rest).alias("_weir_kept"))
     left = meet(kept).withColumn("_weir_n", F.col("_weir_n") - F.when(rest == F.col("_weir_kept"), 1).otherwise(0)).where("_weir_n > 0")
-    return left.select(*[column(c) for c in df.columns], F.explode(F.sequence(F.lit(1).cast("bigint"), "_weir_n")).alias("_weir_copy")).drop("_weir_copy")
+    return left.select(*[F.col(signs[c][1]).alias(c) if c in signs else column(c) for c in df.columns], F.explode(F.sequence(F.lit(1).cast("bigint"), "_weir_n")).alias("_weir_copy")).drop("_weir_copy")
 
 
 class DuplicatesEvaluator(Evaluator):
